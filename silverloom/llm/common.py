@@ -69,6 +69,11 @@ def map_batches(
     return frame.mapInArrow(run, schema)
 
 
+def schema_with(frame: DataFrame, keep: list[str], more: str) -> T.StructType:
+    """The fields ``keep`` of the frame, and those that ``more`` names."""
+    return T.StructType([frame.schema[c] for c in keep] + T.StructType.fromDDL(more).fields)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, text_bytes
+from .common import map_batches, schema_with, text_bytes
 
 SAMPLE, DICTIONARY_BYTES, LEVEL, THRESHOLD = 4000, 112_640, 3, 0.3
 
@@ -138,5 +138,4 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str] | None =
         return {c: batch.column(c) for c in keep} | {"score": score}
 
     kept = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(kept, f"{kinds}, score double", each, prepare)
+    return map_batches(kept, schema_with(kept, keep, "score double"), each, prepare)

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_batches, settle, text_bytes
+from .common import map_batches, schema_with, settle, text_bytes
 
 #: The ratios that rules look at (per 100 words, or per word), and their cutoffs.
 RATIOS = {
@@ -95,8 +95,7 @@ def document_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
         return {c: batch.column(c) for c in keep} | dict(zip(names, zip(*rows)))
 
     kept = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
-    return map_batches(kept, f"{kinds}, {STATS}", each)
+    return map_batches(kept, schema_with(kept, keep, STATS), each)
 
 
 def rule_ratio(rule: str) -> Column:
@@ -152,13 +151,32 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection: float
     return by.mapInPandas(choose, "stratum string, n_good long, " + ", ".join(f"cut_{r} double" for r in RATIOS))
 
 
+def with_verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds base_failed, broken_rules and kept; stats has a stratum."""
+    failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
+    broken = F.array_compact(F.array(*(F.when(rule_ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RATIOS)))
+    cuts = cuts.drop("n_good").withColumnRenamed("stratum", "cut_stratum")
+    out = stats.join(cuts, F.col("stratum") == F.col("cut_stratum"), "left").withColumn("base_failed", failed)
+    return out.withColumn("broken_rules", F.array_join(broken, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("broken_rules") == ""))
+
+
+def stratified(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("stratum"))
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
     """Counts, base verdict, the rules that reject a document, and whether it is kept."""
-    stratum = F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
-    stats = settle(document_stats(docs.select("doc_id", "text", stratum), ["doc_id", "stratum"]), "rule-stats")
+    stats = settle(document_stats(stratified(docs), ["doc_id", "stratum"]), "rule-stats")
     cuts = settle(fit_cutoffs(stats, labels, max_false_rejection, delta), "rule-cutoffs")
-    failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
-    broken = F.array_compact(F.array(*(F.when(rule_ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RATIOS)))
-    out = stats.join(cuts.drop("n_good"), "stratum", "left").withColumn("base_failed", failed).withColumn("broken_rules", F.array_join(broken, ","))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*names, (~F.col("base_failed") & (F.col("broken_rules") == "")).alias("kept"), "broken_rules")
+    return with_verdict(stats, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules")
+
+
+def keep_rows(docs: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that the rules keep. The texts pass through the counts once more beside
+    their verdict, so that they needn't be shuffled to meet it."""
+    stats = settle(document_stats(stratified(docs), ["doc_id", "stratum"]), "rule-stats")
+    cuts = settle(fit_cutoffs(stats, labels, max_false_rejection, delta), "rule-cutoffs")
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*(F.col(c).alias(n) for c, n in names.items()), "text", F.coalesce("lang", F.lit("")).alias("stratum"))
+    passed = with_verdict(document_stats(own, [*names.values(), "stratum"]), cuts).filter("kept")
+    return passed.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, quality_classifier, quality_rules, secrets
+from . import licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash
 from .common import remainder, session, table
 
 
@@ -18,20 +18,33 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", verdict.alias("predicted"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(session(spark), sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(session(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(session(spark), sf_dir, "labels").withColumn("domain", mixing.label_domain())
+    return mixing.mix(table(spark, sf_dir, "documents"), labels)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(session(spark), sf_dir, "documents")))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digest(simhash.near_duplicates(table(session(spark), sf_dir, "documents")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(table(session(spark), sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op6_quality_rules, op8_license_scan, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_classifier, op4_best_fit_packing, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
 }
 
 #: No query here can be said whole in SQL; the tests hold each against brute force.

@@ -141,8 +141,8 @@ def ordinary_from(counts: dict[int, int], fdr: float = FDR) -> int:
     return found
 
 
-def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """doc_id, base and spans: arrays of (start, end, kind), ordered, in code points of the text."""
+def scan_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans, and the tested tokens with their p-values, in code points."""
 
     def each(batch: pa.RecordBatch) -> dict:
         texts = text_bytes(batch.column("text"))
@@ -156,15 +156,48 @@ def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = "start: long, end: long, kind: int"
-    seen = settle(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, base array<struct<{span}>>, tried array<struct<{span}, p_bin: int, length: int>>", each), "secret-spans")
-    counts = seen.select(F.inline("tried")).groupBy("length", "p_bin").count().collect()  # at most 4 x BINS rows
-    limits = {n: ordinary_from({r["p_bin"]: r["count"] for r in counts if r["length"] == n}, fdr) for n in LENGTHS}
-    test = lambda x: x["p_bin"] < _limit_of(x["length"], limits)
-    random = F.transform(F.filter("tried", test), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return settle(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, base array<struct<{span}>>, tried array<struct<{span}, p_bin: int, length: int>>", each), "secret-spans")
+
+
+def ordinary_limits(seen: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """For each class of length, the lowest bin that is ordinary."""
+    counts = seen.select(F.inline("tried")).groupBy("length", "p_bin").count().collect()  # 4 x BINS rows at most
+    return {n: ordinary_from({r["p_bin"]: r["count"] for r in counts if r["length"] == n}, fdr) for n in LENGTHS}
+
+
+def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
+    """doc_id, base and spans: arrays of (start, end, kind), ordered, in code points of the text."""
+    seen = scan_texts(docs)
+    limits = ordinary_limits(seen, fdr)
+    random = F.filter("tried", lambda x: x["p_bin"] < limit_of(x["length"], limits))
+    random = F.transform(random, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     return seen.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
-def _limit_of(length, limits: dict[int, int]):
+def mask_rows(docs: DataFrame, mask: str = "[secret]", fdr: float = FDR) -> DataFrame:
+    """docs with each span of its texts replaced by the mask, and n_chars, if it is there, anew."""
+    limits = ordinary_limits(scan_texts(docs), fdr)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        out = {c: batch.column(c) for c in batch.schema.names}
+        texts = text_bytes(batch.column("text"))
+        changed = {}
+        for at, text in enumerate(texts):
+            base = base_spans(text)
+            random = [(s, e) for s, e, p, n in tested_tokens(text, base) if p_bin(p) < limits[n]]
+            if base or random:
+                changed[at] = masked(text, [(s, e) for s, e, _ in base] + random, mask.encode()).decode()
+        if changed:
+            old = out["text"].to_pylist()
+            out["text"] = [changed.get(at, x) for at, x in enumerate(old)]
+            if "n_chars" in out:
+                out["n_chars"] = [len(changed[at]) if at in changed else n for at, n in enumerate(out["n_chars"].to_pylist())]
+        return out
+
+    return map_batches(docs, docs.schema, each)
+
+
+def limit_of(length, limits: dict[int, int]):
     out = F.lit(BINS)
     for n, b in limits.items():
         out = F.when(length == n, F.lit(b)).otherwise(out)
@@ -182,11 +215,11 @@ def secret_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
-def masked(text: str, spans: list[tuple[int, int]], mask: str = "[secret]") -> str:
+def masked(text: bytes, spans: list[tuple[int, int]], mask: bytes) -> bytes:
     """The text with each span replaced; spans that meet are one."""
     out, at = [], 0
     for start, end in sorted(spans):
         if start >= at:
             out += [text[at:start], mask]
         at = max(at, end)
-    return "".join(out) + text[at:]
+    return b"".join(out) + text[at:]
