@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash
+from . import licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash, wrappers
 from .common import remainder, session, table
 
 
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", verdict.alias("predicted"))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(session(spark), sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(session(spark), sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op4_best_fit_packing, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_classifier, op2_wrapper_induction, op4_best_fit_packing, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
 }
 
 #: No query here can be said whole in SQL; the tests hold each against brute force.
