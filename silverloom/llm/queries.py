@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash, wrappers
+from . import language_model, licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash, wrappers
 from .common import remainder, session, table
 
 
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(session(spark), sf_dir, "documents"))
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(session(spark), sf_dir, "documents"), language_model.held_out_tenth())
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(session(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_wrapper_induction, op4_best_fit_packing, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_classifier, op2_wrapper_induction, op4_best_fit_packing, op5_recurrent_lm, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
 }
 
 #: No query here can be said whole in SQL; the tests hold each against brute force.
