@@ -4,7 +4,7 @@ A multinomial logistic model, fitted on a labelled table, gives each document a
 domains. With n_d tokens in document d, rates r_d >= 0 are sought so that the expected tokens of each
 domain, sum of r_d * n_d * p_dk, equal target weight k times the token budget. The least-squares
 residual (whitened by the Gram matrix sum of n_d p_d p_d') is descended from r = 1 by projected
-gradients in the metric of the token counts: r <- max(0, r - p . step). Rates then depend on a
+gradients in the metric of the token counts: r <- r - p . step, held in [0, MAX_RATE]. Rates then depend on a
 document through p alone and on the history of steps, so each iteration is one pass over (n, p)
 that returns K + K * K sums; nothing else reaches the driver, and nothing need be stored in between.
 
@@ -14,8 +14,9 @@ The model's fit uses at most ``sample`` labelled documents of each domain (in ha
 ids) and the ``VOCABULARY`` words that tell domains apart best; posteriors, totals and rates use every document.
 
 Defined results: null and empty texts have no tokens and the posterior of the intercepts; a null
-language or label is ignored; without labels the posterior is even; domains that no document shows
-can't be met and are left out of the weights; repeated rows each get their row and the same rate;
+language or label is ignored; without labels the posterior is even; a target that would take a
+domain's documents more than ``MAX_REPEAT`` times can't be met: such domains keep their proportion to
+the domains that grow, so that what little there is of one never bends the rates of all others; repeated rows each get their row and the same rate;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import map_batches, schema_with, settle, text_bytes
 
 SAMPLE, VOCABULARY, ITERATIONS, TOLERANCE = 3000, 5000, 25, 1e-4
+#: A target is lowered if it needs documents more often than this; no rate is above the second.
+MAX_REPEAT, MAX_RATE, DAMPING = 2.0, 4.0, 0.01
 #: Production targets: share of tokens by domain of the labels table.
 TARGETS = {"clean": 0.93, "toxic": 0.04, "poor": 0.03}
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -147,41 +150,61 @@ def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     """The rates after the steps so far, from r = 1; p has a row for each document."""
     rate = np.ones(len(p))
     for step in history:
-        rate = np.maximum(0.0, rate - p @ step)
+        rate = np.clip(rate - p @ step, 0.0, MAX_RATE)
     return rate
 
 
+def attainable(targets: np.ndarray, shares: np.ndarray, repeat: float = MAX_REPEAT) -> np.ndarray:
+    """The targets, but for domains of which the corpus has so little that its documents would have
+    to be taken more than ``repeat`` times: those grow no more than the domain that has most room."""
+    goal, short = targets.copy(), np.zeros(len(targets), bool)
+    while True:
+        lack = ~short & (targets > repeat * shares)
+        if not lack.any():
+            return goal
+        short |= lack
+        free = ~short
+        grown = free & (targets >= shares)
+        pool = short | (grown if grown.any() else free)  # these share what the rest leaves, as they stand
+        left = 1 - targets[~pool].sum()
+        goal = targets.copy()
+        goal[pool] = left * shares[pool] / max(shares[pool].sum(), 1e-12)
+
+
 def fit_steps(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """The history of steps after which expected domain totals match the targets (shares)."""
     k, history = len(targets), []
-    narrow = members.select("n_tokens", "p")
+    narrow, goal = members.select("n_tokens", "p"), None
 
-    def sums(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def sums(history: list[np.ndarray]) -> np.ndarray:
         def each(batch: pa.RecordBatch) -> dict:
             n = batch.column("n_tokens").to_numpy().astype(float)
             p = batch.column("p").flatten().to_numpy().reshape(-1, k)
             rate = rates_of(p, history)
-            live = n * (rate > 0)
+            live = n * ((rate > 0) & (rate < MAX_RATE))
             return {"v": [np.concatenate([(n * rate) @ p, ((p * live[:, None]).T @ p).ravel(), [n.sum()]])]}
 
         parts = map_batches(narrow, "v array<double>", each)
         row = parts.agg(*(F.sum(F.col("v")[i]) for i in range(k + k * k + 1))).first()
-        got = np.array([x or 0.0 for x in row])
-        return got, got[-1]
+        return np.array([x or 0.0 for x in row])
 
     for _ in range(iterations):
-        got, total = sums(history)
+        got = sums(history)
+        total = got[-1]
         if not total:
             break
-        miss = got[:k] - targets * total
+        if goal is None:
+            goal = attainable(targets, got[:k] / total)
+        miss = got[:k] - goal * total
         if np.abs(miss).max() <= tolerance * total:
             break
-        history.append(np.linalg.lstsq(got[k : k + k * k].reshape(k, k) + 1e-9 * total * np.eye(k), miss, rcond=None)[0])
+        gram = got[k : k + k * k].reshape(k, k)
+        history.append(np.linalg.solve(gram + np.diag(DAMPING * gram.sum(1) + 1e-9 * total), miss))
     return history
 
 
 def goals(model: DomainModel, targets: dict[str, float]) -> np.ndarray:
-    goal = np.array([targets[d] if model.weights is None or d in model.domains else 0.0 for d in model.domains])
+    goal = np.array([targets[d] for d in model.domains])
     return goal / goal.sum()
 
 

@@ -201,3 +201,20 @@ def test_mixing_edges(odd_docs, no_docs, labels):
     for r in rows.collect():
         got[r.doc_id] += 1
     assert dict(got) == {k: v for k, v in copies.items() if v}
+
+
+def test_mixing_with_a_domain_that_is_hardly_there(spark):
+    """After a filter there are few poor documents; clean ones still all stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("domain", mixing.label_domain())
+    poor = marks.filter("domain = 'poor'").select("doc_id").orderBy("doc_id").offset(2)
+    rows = mixing.mix(docs.join(poor, "doc_id", "left_anti"), marks).collect()
+    assert all(r.rate >= 1 and r.copies >= 1 for r in rows if r.p_clean > 0.95)
+    assert sum(r.rate * r.n_tokens * r.p_toxic for r in rows) / sum(r.n_tokens for r in rows) == pytest.approx(0.04, abs=0.01)
+
+
+def test_attainable_targets():
+    goal = mixing.attainable(np.array([0.93, 0.03, 0.04]), np.array([0.875, 0.005, 0.12]))
+    assert goal.sum() == pytest.approx(1) and goal[2] == 0.04 and goal[0] / 0.875 == pytest.approx(goal[1] / 0.005)
+    assert mixing.attainable(np.array([0.5, 0.5]), np.array([0.7, 0.3])).tolist() == [0.5, 0.5]
+    assert mixing.attainable(np.array([0.5, 0.5]), np.array([1.0, 0.0])).tolist() == [1.0, 0.0]
