@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_model, licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash, wrappers
+from . import language_model, licenses, mixing, packing, quality_classifier, quality_rules, secrets, simhash, vectors, wrappers
 from .common import remainder, session, table
 
 
@@ -22,6 +22,10 @@ def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract_text(table(session(spark), sf_dir, "pages"))
 
 
+def op3_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(session(spark), sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(session(spark), sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_wrapper_induction, op4_best_fit_packing, op5_recurrent_lm, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_classifier, op2_wrapper_induction, op3_hnsw_near_dedup, op4_best_fit_packing, op5_recurrent_lm, op6_quality_rules, op7_source_mixing, op8_license_scan, op9_simhash_near_dedup, op10_secret_scan)
 }
 
 #: No query here can be said whole in SQL; the tests hold each against brute force.
