@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows an Arrow batch holds at most: keeps a worker's memory small even if every text is long.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 #: Used only where the session names no folder (tests and other local runs).
 LOCAL_FOLDER = "/tmp/checkpoints"
 

@@ -216,19 +216,31 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return with_copies(members, history, ["doc_id"]).select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies")
 
 
+def chance() -> Column:
+    """A document's even draw from [0, 1), the same whenever it is made."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def with_copies(members: DataFrame, history: list[np.ndarray], keep: list[str]) -> DataFrame:
     def each(batch: pa.RecordBatch) -> dict:
         p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1)
         return {c: batch.column(c) for c in [*keep, "n_tokens", "p"]} | {"rate": rates_of(p, history)}
 
     rated = map_batches(members, schema_with(members, keep, "n_tokens long, p array<double>, rate double"), each)
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return rated.withColumn("copies", (F.floor("rate") + (chance() < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
 def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """docs itself, each row as often as its rate says."""
+    """docs itself, each row as often as its rate says; texts pass through one worker, once."""
     model = train_domains(docs, labels, targets, sample)
     history = fit_steps(settle(memberships(docs, model, []), "memberships"), goals(model, targets))
-    taken = with_copies(memberships(docs, model, docs.columns), history, docs.columns)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies"))))).filter("copies > 0").select(*docs.columns)
+    names = docs.columns
+
+    def each(batch: pa.RecordBatch) -> dict:
+        texts = text_bytes(batch.column("text"))
+        rate = rates_of(np.array([model.posterior(x, text_extra(x, x.split())) for x in texts]), history)
+        copies = np.floor(rate) + (batch.column(len(names)).to_numpy() < rate - np.floor(rate))
+        rows = pa.array(np.repeat(np.arange(len(texts)), copies.astype(np.int64)))
+        return {c: batch.column(i).take(rows) for i, c in enumerate(names)}
+
+    return map_batches(docs.select(*names, chance().alias("a draw of its own")), docs.schema, each)
