@@ -17,7 +17,6 @@ result. Only texts longer than the capacity are cut, and only their first piece
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable
@@ -30,28 +29,10 @@ from .common import map_batches, settle, text_bytes
 
 CAPACITY, END = 1024, 2
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Words that a worker remembers with their ids.
-REMEMBERED = 250_000
+#: A fixed value: the vocabulary's split of texts, with possessive runs, which match the same and need no way back.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Pieces that a bucket of one length holds, about.
 BUCKET = 200_000
-#: Two white spaces in a row; without them every token lies within a word and the space before it.
-SPACES = re.compile(r"\s\s")
-
-
-class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of a word with the space before it, remembered."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) < 100:
-            self[word] = ids
-        return ids
 
 
 class Tokenizer:
@@ -64,16 +45,11 @@ class Tokenizer:
 
         with open(ranks or public_tokenizers.path(RANKS), "rb") as file:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        made = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={"<|endoftext|>": len(merges)})
-        self.encode = lambda text: made.encode(text, allowed_special="all")
-        self.words = WordIds(self.encode)
+        self.made = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={"<|endoftext|>": len(merges)})
 
     def ids(self, text: str) -> bytes:
-        if SPACES.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        get = self.words.__getitem__
-        return get(first) + b"".join([get(" " + w) for w in rest])
+        """Little-endian unsigned 32-bit numbers."""
+        return self.made.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
