@@ -2,42 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from silverloom.sources.snapshots import settle as settle  # written once to the shared folder
+
 #: Rows an Arrow batch holds at most: keeps a worker's memory small even if every text is long.
 BATCH_ROWS = 1024
-#: Used only where the session names no folder (tests and other local runs).
-LOCAL_FOLDER = "/tmp/checkpoints"
-
-
 def session(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches that fit in a worker whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_FOLDER
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(frame: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: it is computed once, its lineage ends
-    there, and a lost executor costs no more than a new read."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/silverloom/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; a null text counts as empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import defaultdict
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import map_batches, settle, text_bytes
 
 CAPACITY, END = 1024, 2
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+RANKS = "byte_bpe_50k.tiktoken"
 #: A fixed value: the vocabulary's split of texts, with possessive runs, which match the same and need no way back.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Pieces that a bucket of one length holds, about.
