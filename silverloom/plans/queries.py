@@ -105,7 +105,7 @@ winkler as (
   select ln, rn, case when j < 0.7 then j else j + 0.1::double * (case when substr(s, 1, 1) <> substr(l, 1, 1) then 0 when substr(s, 1, 2) <> substr(l, 1, 2) or length(s) < 2 then 1 when substr(s, 1, 3) <> substr(l, 1, 3) or length(s) < 3 then 2 when substr(s, 1, 4) <> substr(l, 1, 4) or length(s) < 4 then 3 else 4 end) * (1 - j) end as jw from jaro),
 sims as (
   select t.*, (le = re)::int::double as se, (lp = rp)::int::double as sp, case when t.ln = t.rn then 1.0::double else w.jw end as sn,
-    case when la = ra then 1.0::double else greatest(0.0::double, 1 - levenshtein(la, ra)::double / greatest(length(la), length(ra))) end as sa
+    case when la is null or ra is null then null when la = ra then 1.0::double else greatest(0.0::double, 1 - levenshtein(la, ra)::double / greatest(length(la), length(ra))) end as sa
   from two t left join winkler w on w.ln = t.ln and w.rn = t.rn),
 sums as (
   select *, case when sa is null then 0.0::double else sa * 0.15::double end + case when se is null then 0.0::double else se * 0.35::double end + case when sn is null then 0.0::double else sn * 0.2::double end + case when sp is null then 0.0::double else sp * 0.3::double end as total,

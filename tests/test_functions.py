@@ -1,0 +1,116 @@
+"""Golden values of the scalar functions, and sources."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from silverloom.functions import identity, similarity, text
+from silverloom.operators.rules import RuleSet
+from silverloom.sources import records
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
+
+
+CASES = [
+    (text.normalize_name, "  Jane—D’OE  ", "jane d oe"),
+    (text.normalize_name, "ﬁne  ＡＢ", "fine ab"),
+    (text.normalize_name, " \t ", None),
+    (text.normalize_name, "...", ""),
+    (text.normalize_name, None, None),
+    (text.normalize_address, "42 Main Street, Apartment #5", "42 main st apt #5"),
+    (text.normalize_address, "1-3 Streeter Lane", "1-3 streeter ln"),
+    (text.normalize_email, " A@B.C\n", "a@b.c"),
+    (text.normalize_email, "", None),
+    (text.normalize_phone, "(206) 555-0100", "+12065550100"),
+    (text.normalize_phone, "1 206 555 0100", "+12065550100"),
+    (text.normalize_phone, "+1 106 555 0100", None),
+    (text.normalize_phone, "+44 20 7946 0958", "+442079460958"),
+    (text.normalize_phone, "555", None),
+    (text.phone_last7, "+12065550100", "5550100"),
+    (text.phone_last7, "123", None),
+    (text.normalize_postal, " K1A 0B1 ", "k1a0b1"),
+    (text.street_number, "42nd st", None),
+    (text.street_number, "221b baker", "221b"),
+    (text.street_number, "10-12 x", "10"),
+    (text.soundex, "Smith", "S530"),
+    (text.soundex, "Smyth", "S530"),
+    (text.soundex, "Ashcraft", "A226"),
+    (text.soundex, "123", None),
+    (text.soundex, None, None),
+]
+
+
+@pytest.mark.parametrize("function,value,want", CASES)
+def test_text(spark, function, value, want):
+    assert one(spark, function, value) == want
+
+
+def test_jaro_winkler():
+    assert similarity.jaro_winkler("alicia miller", "alcia miller") == pytest.approx(0.9128205128205129, abs=1e-15)
+    assert similarity.jaro_winkler("abbcebcc", "cbbceacb") == pytest.approx(0.7976190476190476, abs=1e-15)
+    assert similarity.jaro_winkler("", "") == 1 and similarity.jaro_winkler("", "a") == 0
+
+
+def test_jaro_winkler_equals_the_jar(spark):
+    """The class of that name which Spark itself brings along."""
+    import random
+
+    jar = spark.sparkContext._jvm.org.apache.commons.text.similarity.JaroWinklerSimilarity()
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        assert similarity.jaro_winkler(a, b) == pytest.approx(jar.apply(a, b), abs=1e-15)
+
+
+def test_similarities_in_columns(spark):
+    rows = [("a b", "a b"), ("alicia miller", "alcia miller"), (None, "x"), ("", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select(similarity.name_similarity(F.col("a"), F.col("b")).alias("n"), similarity.address_similarity(F.col("a"), F.col("b")).alias("d"), similarity.exact(F.col("a"), F.col("b")).alias("e")).collect()
+    assert [r.n for r in got] == pytest.approx([1, 0.9128205128205129, None, 1])
+    assert [r.d for r in got] == pytest.approx([1, 1 - 1 / 13, None, 1]) and [r.e for r in got] == [1, 0, None, 1]
+    assert similarity.levenshtein("kitten", "sitting") == 3
+
+
+def test_cursor():
+    token = identity.encode_cursor("2025-01-01T00:00:00Z", "abc")
+    assert "=" not in token and identity.decode_cursor(token) == ("2025-01-01T00:00:00Z", "abc")
+    for bad in ("%%%", "YWJj", "é"):
+        with pytest.raises(identity.InvalidCursor):
+            identity.decode_cursor(bad)
+
+
+def test_payload_hash_ignores_nulls_and_sees_updates(spark):
+    rows = [("a", None, "n", None, None, None), ("a", None, "n", None, None, None), ("a", "e", "n", None, None, None)]
+    got = [r.h for r in spark.createDataFrame(rows, "address string, email string, full_name string, phone string, postal_code string, updated_at timestamp").select(identity.payload_hash().alias("h")).collect()]
+    assert got[0] == got[1] != got[2]
+
+
+def test_rules_from_json():
+    rules = RuleSet.parse(2, json.dumps({"weights": {"email": 0.5}, "thresholds": {"autoMatch": 0.8}, "maxBlockSize": 7, "sourcePriority": {"email": ["X"]}}))
+    assert rules.weights == {"address": 0, "email": 0.5, "name": 0, "phone": 0} and rules.auto_match == 0.8 and rules.review == 0
+    assert rules.max_block_size == 7 and rules.priority["email"] == ["X"] and rules.priority["phone"] == []
+
+
+def test_json_and_labels(spark, tmp_path):
+    (tmp_path / "crm.json").write_text(json.dumps({"records": [{"sourceRecordId": "1", "fullName": "A", "updatedAt": "2024-01-01T00:00:00Z"}, {"sourceRecordId": "2", "email": "e"}]}))
+    rows = records.read_json(spark, str(tmp_path / "crm.json")).orderBy("source_record_id").collect()
+    assert [(r.source_record_id, r.full_name, r.email) for r in rows] == [("1", "A", None), ("2", None, "e")] and rows[0].updated_at.year == 2024
+    (tmp_path / "labels.csv").write_text("group_id,source_system,source_record_id,scenario\nduplicate-1,CRM,1,duplicate\n")
+    assert records.read_labels(spark, str(tmp_path / "labels.csv")).first().group_id == "duplicate-1"
+
+
+def test_batch_checks(spark):
+    schema = "source_record_id string, full_name string, email string, phone string, address string, postal_code string, updated_at timestamp"
+    make = lambda *ids: spark.createDataFrame([(i, "n", None, None, None, None, None) for i in ids], schema)
+    assert records.check_batch(make("1", "2")).count() == 2
+    for bad, code in ((make("1", "1"), "DUPLICATE_BATCH_ID"), (make("1", " "), "VALIDATION_ERROR"), (make(), "VALIDATION_ERROR"), (make("x" * 201), "VALIDATION_ERROR")):
+        with pytest.raises(records.InvalidBatch, match=code):
+            records.check_batch(bad)
+    with pytest.raises(records.InvalidBatch):
+        records.check_batch(make("1", "2"), most=1)
+    assert records.check_source_system(" CRM ") == "CRM"
+    for name in ("", "a b", "x" * 101, None, "é"):
+        with pytest.raises(records.InvalidBatch, match="INVALID_SOURCE_SYSTEM"):
+            records.check_source_system(name)
