@@ -48,14 +48,29 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def softmax_parts(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(logits - max), and log of the sum of exp(logits), by row."""
-    top = logits.max(1, keepdims=True)
-    out = np.exp(logits - top)
-    return out, top[:, 0] + np.log(out.sum(1))
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """By row, in place."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
+
+
+def log_sums(logits: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp, by row, in place; with the largest taken out first where it overflows."""
+    top = logits.max()
+    if not -60 < top < 60:
+        logits -= top
+        return log_sums(logits) + top if logits.max(1).min() > -60 else top + logits.max(1) + np.log(np.exp(logits - logits.max(1, keepdims=True)).sum(1))
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(1))
 
 
 @dataclass
@@ -120,11 +135,15 @@ class Recurrent:
         """Natural log of P(id | state); of other words, that of their class."""
         classes = ids // CLASS_SIZE
         classes[ids == len(self.p["embed"]) - 1] = len(self.p["word"])
-        logits = h @ self.p["class"] + self.p["class_bias"]
-        out = logits[np.arange(len(ids)), classes] - softmax_parts(logits)[1]
+        logits = h @ self.p["class"]
+        logits += self.p["class_bias"]
+        out = logits[np.arange(len(ids)), classes]
+        out -= log_sums(logits)
         for c, rows in by_class(classes, len(self.p["word"])):
-            logits = h[rows] @ self.p["word"][c] + self.p["word_bias"][c]
-            out[rows] += logits[np.arange(len(rows)), ids[rows] - c * CLASS_SIZE] - softmax_parts(logits)[1]
+            logits = h[rows] @ self.p["word"][c]
+            logits += self.p["word_bias"][c]
+            own = logits[np.arange(len(rows)), ids[rows] - c * CLASS_SIZE]
+            out[rows] += own - log_sums(logits)
         return out
 
     def gradients(self, ids: np.ndarray, before: np.ndarray, state: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -142,16 +161,14 @@ class Recurrent:
         g = {k: np.zeros_like(v) for k, v in p.items()}
         classes = ys // CLASS_SIZE
         classes[ys == len(p["embed"]) - 1] = len(p["word"])
-        raw, logsum = softmax_parts(flat @ p["class"] + p["class_bias"])
-        share = raw / raw.sum(1, keepdims=True)
+        share = softmax(flat @ p["class"] + p["class_bias"])
         every = np.arange(len(ys))
         loss = -np.log(np.maximum(share[every, classes], 1e-30)).sum()
         share[every, classes] -= 1
         g["class"], g["class_bias"] = flat.T @ share, share.sum(0)
         d = share @ p["class"].T
         for c, rows in by_class(classes, len(p["word"])):
-            raw, _ = softmax_parts(flat[rows] @ p["word"][c] + p["word_bias"][c])
-            inner = raw / raw.sum(1, keepdims=True)
+            inner = softmax(flat[rows] @ p["word"][c] + p["word_bias"][c])
             at = (np.arange(len(rows)), ys[rows] - c * CLASS_SIZE)
             loss -= np.log(np.maximum(inner[at], 1e-30)).sum()
             inner[at] -= 1
@@ -182,7 +199,7 @@ class Recurrent:
 
 
 def by_class(classes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes.astype(np.int16), kind="stable")  # of 16 bits: sorted by radix
     edges = np.searchsorted(classes[order], np.arange(n + 1))
     for c in range(n):
         if edges[c] < edges[c + 1]:
@@ -216,39 +233,34 @@ def train(model: Recurrent, ids: np.ndarray, end: int, rate: float) -> Recurrent
 
 def score_documents(model: Recurrent, documents: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log probability of each document (ids with END last), all read in step."""
-    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    lengths = np.array([len(documents[i]) for i in order])
+    sizes = np.array([len(x) for x in documents], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    lengths, flat = sizes[order], np.concatenate(documents) if documents else np.zeros(0, np.uint16)
+    starts = (np.cumsum(sizes) - sizes)[order]
     table, out = model.inputs(), np.zeros(len(order))
-    h = np.zeros((len(order), model.p["loop"].shape[0]), np.float32)
-    at, longest = 0, int(lengths[0]) if len(order) else 0
+    h = np.zeros((len(order), model.p["loop"].shape[0]), table.dtype)
     last = np.full(len(order), end, np.int64)
+    longest = int(lengths[0]) if len(order) else 0
+    live = np.searchsorted(-lengths, -np.arange(longest))  # documents that have a token at each place
+    at = 0
     while at < longest:
-        live = int(np.searchsorted(-lengths, -at))  # documents that have a token here
-        stop = min(longest, at + max(1, WINDOW_TOKENS // live))
-        grid = np.full((stop - at, live), -1, np.int64)
-        for j in range(live):
-            part = documents[order[j]][at:stop]
-            grid[: len(part), j] = part
-        states, ids, whose = [], [], []
-        for row in grid:
-            n = int((row >= 0).sum()) if row[-1] < 0 else len(row)  # the rest has ended
-            h = self_step(model, table, last[:n], h[:n])
+        states, ids, size, first = [], [], 0, at
+        while at < longest and (not size or size + live[at] <= WINDOW_TOKENS):
+            n = int(live[at])
+            h = model.step(table[last[:n]], h[:n])[0]
+            last = flat[starts[:n] + at].astype(np.int64)
             states.append(h)
-            ids.append(row[:n])
-            whose.append(np.arange(n))
-            last = row[:n]
+            ids.append(last)
+            size += n
+            at += 1
         got = model.log_probabilities(np.concatenate(states), np.concatenate(ids))
-        out[:live] += np.bincount(np.concatenate(whose), got, live)
-        at = stop
+        for n, part in zip(live[first:at], np.split(got, np.cumsum(live[first:at])[:-1])):
+            out[:n] += part
     scores = np.empty(len(order))
     scores[order] = out
     return scores
 
 
-def self_step(model: Recurrent, table: np.ndarray, last: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return model.step(table[last], h)[0]
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c: how often each word stands in the texts, END once in each."""
 
@@ -357,37 +369,42 @@ def read_texts(docs: DataFrame, keep: list[str], words: list[bytes], counts: np.
         held: list[pa.RecordBatch] = []
         rows: list[tuple] = []
         ids: list[np.ndarray] = []
-        size = 0
+        tails: list[bytes] = []
+        numbers: list[int] = []
+        edges, size = [0], 0
 
         def done() -> pa.RecordBatch:
-            score = score_documents(model, ids, end) / ln10
             columns = list(zip(*rows))
-            columns[3] = np.array(columns[3]) + score
+            columns[3] = np.array(columns[3]) + score_documents(model, ids, end) / ln10
             first = [pa.concat_arrays([b.column(c) for b in held]) for c in keep]
-            return pa.RecordBatch.from_arrays([*first, *(pa.array(list(v), target.field(len(keep) + i).type) for i, v in enumerate(columns))], schema=target)
+            plain = [pa.array(v, target.field(len(keep) + i).type) for i, v in enumerate(columns)]
+            kind = target.field(len(target) - 1).type
+            inner = pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(numbers, pa.int64())], fields=list(kind.value_type))
+            return pa.RecordBatch.from_arrays([*first, *plain, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), inner, type=kind)], schema=target)
 
         for batch in batches:
-            for text, at in zip(text_bytes(batch.column("text")), range(batch.num_rows)):
+            fresh = 0
+            for at, text in enumerate(text_bytes(batch.column("text"))):
                 tokens = tokens_of(text)
                 found = np.array([get(w, -1) for w in tokens], np.int64)
-                if found[-1] < 0 and END not in place:  # no training document: END is the model's all the same
-                    known, lost = found[found >= 0], np.flatnonzero(found[:-1] < 0)
-                    tail = Counter(tokens[i] for i in lost)
-                    tail[END] = 1
-                else:
-                    known, lost = found[found >= 0], np.flatnonzero(found < 0)
-                    tail = Counter(tokens[i] for i in lost)
+                known, lost = found[found >= 0], np.flatnonzero(found < 0).tolist()
+                tail = Counter([tokens[i] for i in lost])
+                tails += tail.keys()
+                numbers += tail.values()
+                edges.append(len(tails))
                 mine = own[found]
                 mine[-1] = end
                 outside = (mine == vocabulary.other) & (found >= 0)
                 lm = weight[found[outside]].sum() - outside.sum() * rest
-                rows.append((len(tokens), len(known), float(weight[known].sum()), float(lm), len(lost), [{"word": w, "n": n} for w, n in tail.items()]))
+                rows.append((len(tokens), len(known), float(weight[known].sum()), float(lm), len(lost) - (END in tail)))  # END is the model's in any case
                 ids.append(mine.astype(np.uint16))
                 size += len(tokens)
-                held.append(batch.slice(at, 1))
                 if len(ids) >= TOGETHER or size >= BLOCK_TOKENS:
+                    held.append(batch.slice(fresh, at + 1 - fresh))
                     yield done()
-                    held, rows, ids, size = [], [], [], 0
+                    held, rows, ids, tails, numbers, edges, size, fresh = [], [], [], [], [], [0], 0, at + 1
+            if fresh < batch.num_rows:
+                held.append(batch.slice(fresh))
         if ids:
             yield done()
 
