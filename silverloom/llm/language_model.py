@@ -208,7 +208,7 @@ def by_class(classes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def train(model: Recurrent, ids: np.ndarray, end: int, rate: float) -> Recurrent:
     """One pass over a sequence of documents, each closed by END, dealt to streams that are read in step."""
-    streams = int(max(1, min(STREAMS, len(ids) // (4 * STEPS))))
+    streams = int(max(1, min(max(8, min(STREAMS, len(ids) // (300 * STEPS))), len(ids) // STEPS)))  # 300 windows or more, if there are so many
     length = len(ids) // streams
     rows = ids[: length * streams].reshape(streams, length).T
     ahead = np.vstack([np.full((1, streams), end, rows.dtype), rows[:-1]])
