@@ -223,10 +223,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     rows without a doc_id stay."""
     found = near_duplicates(docs, radius, shingle).filter("doc_id is not null")
     ids = settle(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows")), "kept-ids")
-    drop = ids.filter("kept_id <> component_id").select("kept_id").hint("merge")  # one plan at every size: the ids grow with the table
-    stay = docs.join(drop, F.col("doc_id") == F.col("kept_id"), "left_anti")
-    again = ids.filter("kept_id = component_id and n_rows > 1").select("kept_id")
+    own = "an id that stays or goes"  # no name of docs' columns
+    drop = ids.filter("kept_id <> component_id").select(F.col("kept_id").alias(own)).hint("merge")  # one plan at every size: the ids grow with the table
+    stay = docs.join(drop, F.col("doc_id") == F.col(own), "left_anti")
+    again = ids.filter("kept_id = component_id and n_rows > 1").select(F.col("kept_id").alias(own))
     if again.isEmpty():
         return stay
-    single = stay.join(again, F.col("doc_id") == F.col("kept_id"), "left_anti")
-    return single.unionByName(stay.join(again, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]))
+    single = stay.join(again, F.col("doc_id") == F.col(own), "left_anti")
+    return single.unionByName(stay.join(again, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"]))

@@ -25,7 +25,7 @@ def odd_docs(spark):
     from pyspark.sql import functions as F
 
     made = spark.createDataFrame(ROWS, DOCS)
-    return made.withColumn("score", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("component", F.lit(0)).withColumn("n_words", F.lit(-1))
+    return made.withColumn("score", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("component", F.lit(0)).withColumn("n_words", F.lit(-1)).withColumn("kept_id", F.lit(7)).withColumn("node", F.lit("x")).withColumn("stratum", F.lit("y"))
 
 
 @pytest.fixture(scope="session")
