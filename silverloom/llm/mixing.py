@@ -69,24 +69,19 @@ def text_extra(text: bytes, words: list[bytes]) -> tuple[float, ...]:
     return 1.0, len(set(words)) / n, min(drop(b"#*$%&|<>!") / n, 3.0), drop(bytes(range(65, 91))) / max(len(text), 1)
 
 
-def telling_words(bags: list[set[bytes]], y: np.ndarray, most: int) -> list[bytes]:
-    """Words whose presence and a domain depend on each other: G statistic above 2 ln(words), which
-    by chance no word of so many reaches, the strongest first."""
-    place: dict[bytes, int] = {}
-    flat = np.array([place.setdefault(w, len(place)) for bag in bags for w in sorted(bag)], np.int64)
-    if not len(flat):
-        return []
-    doc = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
-    both = np.stack([np.bincount(flat, y[doc, k], len(place)) for k in range(y.shape[1])], 1)
-    has, n, of = both.sum(1, keepdims=True), len(bags), y.sum(0)
+def telling_words(words: list[bytes], flat: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int) -> list[int]:
+    """Numbers of words whose presence and a domain depend on each other: G statistic above
+    2 ln(words), which by chance no word of so many reaches, the strongest first. flat, doc: the
+    numbers of the words in each document, and whose they are."""
+    both = np.stack([np.bincount(flat, y[doc, k], len(words)) for k in range(y.shape[1])], 1)
+    has, n, of = both.sum(1, keepdims=True), len(y), y.sum(0)
     g = np.zeros_like(both)
     for seen, row, column in ((both, has, of), (has - both, has, n - of), (of - both, n - has, of), (n - has - of + both, n - has, n - of)):
         with np.errstate(divide="ignore", invalid="ignore"):
             g += np.where(seen > 0, 2 * seen * np.log(seen * n / (row * column)), 0)
     best = g.max(1)
-    words = list(place)
-    told = [i for i in np.flatnonzero(best > 2 * np.log(len(words)) + 4)]
-    return [words[i] for i in sorted(told, key=lambda i: (-best[i], words[i]))[:most]]
+    told = np.flatnonzero(best > 2 * np.log(max(len(words), 1)) + 4)
+    return sorted(told.tolist(), key=lambda i: (-best[i], words[i]))[:most]
 
 
 def fit_domains(texts: list[bytes], marks: list[str], shares: dict[str, float], vocabulary: int = VOCABULARY, steps: int = 200) -> DomainModel:
@@ -94,12 +89,17 @@ def fit_domains(texts: list[bytes], marks: list[str], shares: dict[str, float],
     domains = sorted(shares)
     if len(set(marks)) < 2:
         return DomainModel(domains)
-    bags = [set(x.translate(LETTERS).split()) for x in texts]
+    place: dict[bytes, int] = {}
+    sets = [np.array([place.setdefault(w, len(place)) for w in set(x.translate(LETTERS).split())], np.int32) for x in texts]
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     y = np.array([[m == d for d in domains] for m in marks], float)
-    kept = telling_words(bags, y, vocabulary)
-    ids = {w: i for i, w in enumerate(kept)}
-    rows = [np.array(sorted(ids[w] for w in bag if w in ids), np.int64) for bag in bags]
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    words = list(place)
+    kept = telling_words(words, flat, doc, y, vocabulary)
+    new = np.full(len(words), -1)
+    new[kept] = np.arange(len(kept))
+    ids = {words[i]: k for k, i in enumerate(kept)}
+    flat, doc = new[flat][new[flat] >= 0], doc[new[flat] >= 0]
+    del place, sets, words
     extra = np.array([text_extra(x, x.split()) for x in texts])
     share = (y * np.array([shares[d] for d in domains]) / np.maximum(y.mean(0), 1e-9)).sum(1)
     w = np.zeros((len(kept) + extra.shape[1], len(domains)))
@@ -107,9 +107,9 @@ def fit_domains(texts: list[bytes], marks: list[str], shares: dict[str, float],
     for step in range(1, steps + 1):
         score = extra @ w[len(kept) :]
         for k in range(len(domains)):
-            score[:, k] += np.bincount(doc, w[flat, k], len(rows))
+            score[:, k] += np.bincount(doc, w[flat, k], len(y))
         p = np.exp(score - score.max(1, keepdims=True))
-        miss = share[:, None] * (p / p.sum(1, keepdims=True) - y) / len(rows)
+        miss = share[:, None] * (p / p.sum(1, keepdims=True) - y) / len(y)
         gradient = np.concatenate([np.stack([np.bincount(flat, miss[doc, k], len(kept)) for k in range(len(domains))], 1), extra.T @ miss]) + 2e-4 * w
         moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         w -= 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
