@@ -221,7 +221,11 @@ def near_duplicate_digest(found: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The document with the smallest doc_id of each group, one row of it, with docs' own columns;
     rows without a doc_id stay."""
-    found = near_duplicates(docs, radius, shingle).filter("doc_id is not null")
+    return keep_smallest(docs, near_duplicates(docs, radius, shingle).filter("doc_id is not null"))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each document that is its component's smallest; found: doc_id and component_id."""
     ids = settle(found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n_rows")), "kept-ids")
     own = "an id that stays or goes"  # no name of docs' columns
     drop = ids.filter("kept_id <> component_id").select(F.col("kept_id").alias(own)).hint("merge")  # one plan at every size: the ids grow with the table
