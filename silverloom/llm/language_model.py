@@ -6,7 +6,7 @@ other words are one more class, within which each has its smoothed share (c + 0.
 is a distribution over the same word types as the unigram base. A GRU reads the text; it is trained
 by truncated backpropagation in numpy: ``ROUNDS`` rounds, in each of which shards of the training
 documents are trained from the same parameters in parallel, state carried from window to window, and
-the parameters averaged. A fixed share of all training documents is used, however many there are.
+the parameters averaged. Every training document is in one of the rounds.
 Texts are scored whole, many in step, with state carried across windows.
 
 Counts of the most frequent words (``HEAD`` at most) are known to every worker; what texts hold of all
@@ -33,7 +33,7 @@ from .common import remainder, schema_with, settle, text_bytes, to_arrow
 END = b"\n"  # no word holds white space
 HIDDEN, MODEL_WORDS, CLASS_SIZE, HEAD = 32, 4096, 64, 200_000
 #: Training: rounds, share of the training documents, tokens a shard has about, streams, steps back, rates.
-ROUNDS, SHARE, SHARD_TOKENS, STREAMS, STEPS = 3, 0.25, 1_000_000, 64, 24
+ROUNDS, SHARE, SHARD_TOKENS, STREAMS, STEPS = 3, 1.0, 1_000_000, 64, 24
 RATES = (0.006, 0.004, 0.002)
 #: Scoring: documents in step, tokens a block holds, tokens a window holds.
 TOGETHER, BLOCK_TOKENS, WINDOW_TOKENS = 4096, 3_000_000, 32_768

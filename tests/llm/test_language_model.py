@@ -114,6 +114,26 @@ def test_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)
 
 
+def test_every_training_document_is_trained_on(small_docs, monkeypatch):
+    """At production parameters: what reaches the network is all text that is not held out."""
+    settle, seen = lm.settle, {}
+
+    def keep(frame, name):
+        seen[name] = settle(frame, name)
+        return seen[name]
+
+    monkeypatch.setattr(lm, "settle", keep)
+    scored = lm.score_texts(small_docs, lm.held_out_tenth()).filter("not held_out").collect()
+    sizes = sorted(len(r.ids) // 2 for r in seen["training-ids"].collect())
+    assert sizes == sorted(r.n_tokens for r in scored) and sum(sizes) == scored[0].train_tokens
+
+
+def test_production_parameters_beat_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in lm.score_texts(docs, lm.held_out_tenth()).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)
+
+
 def test_no_documents(no_docs, odd_docs):
     assert lm.score_texts(no_docs, lm.held_out_tenth()).count() == 0
     from pyspark.sql import functions as F
