@@ -3,9 +3,10 @@
 Equal vectors are one class. Classes are dealt to shards by hash; each shard's graph is built in one
 task and stored in the shared folder. Every class queries every shard, in blocks: a beam search down
 the graph's layers, then a flood from the hits over neighbours that hit, so that groups wider than
-the beam are found whole. In each block a fixed sample of queries is held against brute force over the
-shard; while recall is below ``AUDIT_RECALL`` the beam is widened and the block searched again (a
-beam as wide as the shard reads all of it). Hits are verified by cosine in double precision. A
+the beam are found whole. In each block queries are held against brute force over the shard, until
+``AUDIT_LINKED`` of them have links there or all were; itself is no link. While the mean recall of
+queries with about as many links (a power of two) is below ``AUDIT_RECALL`` for any such number, the
+beam is widened and the block searched again (a beam as wide as the shard reads all of it). Hits are verified by cosine in double precision. A
 block returns counts of links and the edges of a spanning forest, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -29,7 +30,7 @@ from silverloom.operators.components import connected_components
 from .common import settle
 from .simhash import Forest
 
-THRESHOLD, AUDIT_RECALL, AUDIT_QUERIES = 0.9, 0.995, 256
+THRESHOLD, AUDIT_RECALL, AUDIT_QUERIES, AUDIT_LINKED = 0.9, 0.995, 256, 64
 #: Links of a node (twice as many in the lowest layer), beam while building, first beam of a search.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 64, 32
 #: Shards: this many at least, more for more than this many rows each. Queries in a block.
@@ -231,20 +232,33 @@ def verified(unit: np.ndarray, queries: np.ndarray, who: np.ndarray, node: np.nd
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
-def audited_search(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, beam: int = SEARCH_BEAM, recall: float = AUDIT_RECALL) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def audited_search(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, beam: int = SEARCH_BEAM, recall: float = AUDIT_RECALL, own: np.ndarray | None = None, names: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first query, place of the query in the part, node, beam) part by part, with a beam that
-    passed the audit: a fixed sample of the queries against brute force."""
+    passed the audit. own, names: numbers of the queries and of the nodes; equal ones are no evidence."""
     n, single = len(exact), queries.astype(np.float32)
     size = max(16, min(1024, MARKS // n))
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT_QUERIES, len(queries))).astype(int))
-    true = queries[sample] @ exact.T >= threshold
-    while True:
-        found = 0
+    order, sample, links = np.random.default_rng(13).permutation(len(queries)), np.zeros(0, int), np.zeros(0, int)
+    for i in range(0, len(order), AUDIT_QUERIES):
+        part = order[i : i + AUDIT_QUERIES]
+        true = queries[part] @ exact.T >= threshold
+        if own is not None:
+            true &= own[part][:, None] != names
+        count = true.sum(1)
+        sample, links = np.append(sample, part[count > 0]), np.append(links, count[count > 0])
+        if len(sample) >= AUDIT_LINKED:
+            break
+    kinds = np.log2(np.maximum(links, 1)).astype(int)
+    while len(sample) and beam < n:
+        found = np.zeros(len(sample))
         for i in range(0, len(sample), size):
             part = sample[i : i + size]
             who, node = graph.search(single[part], beam, threshold - 1e-3)
-            found += int(verified(exact, queries[part], who, node, threshold).sum())
-        if found >= recall * true.sum() or beam >= n:
+            fine = verified(exact, queries[part], who, node, threshold)
+            if own is not None:
+                fine &= own[part][who] != names[node]
+            found[i : i + size] = np.bincount(who[fine], minlength=len(part))
+        by_kind = np.bincount(kinds, found / links)[np.unique(kinds)] / np.bincount(kinds)[np.unique(kinds)]
+        if by_kind.min() >= recall:
             break
         beam = min(2 * beam, n)
     for i in range(0, len(queries), size):
@@ -301,7 +315,7 @@ def search_shards(classes: DataFrame, graphs: DataFrame, shards: int, blocks: in
             names = np.unique(np.concatenate([mine, got["rep"]]))
             forest = Forest(len(names))
             ask, node_of = np.searchsorted(names, mine), np.searchsorted(names, got["rep"])
-            for first, who, node, beam in audited_search(Graph.load(got["graph"].tobytes()), got["exact"], normal(rows_of(queries)), threshold):
+            for first, who, node, beam in audited_search(Graph.load(got["graph"].tobytes()), got["exact"], normal(rows_of(queries)), threshold, own=own, names=got["cid"]):
                 other = own[first + who] != got["cid"][node]
                 who, node = who[other], node[other]
                 count = np.bincount(who, got["copies"][node]).astype(np.int64)

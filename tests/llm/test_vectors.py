@@ -82,6 +82,18 @@ def test_beam_widens_until_the_audit_passes():
     assert len(got) == (rows @ rows.T >= 0.9).sum() and {b for *_, b in got} == {60}
 
 
+def test_a_large_group_does_not_hide_lost_pairs():
+    """Pairs that no link leads to are a tiny part of all links; the audit sees them all the same."""
+    rng = np.random.default_rng(6)
+    center, pairs = rng.standard_normal(16), np.repeat(rng.standard_normal((60, 16)), 2, 0)
+    rows = vectors.normal(np.concatenate([center + 0.02 * rng.standard_normal((600, 16)), pairs + 0.01 * rng.standard_normal((120, 16))]))
+    graph = vectors.Graph.build(rows[:600].astype(np.float32))
+    layers = [np.concatenate([x, np.full((120, x.shape[1]), -1, np.int32)]) for x in graph.layers]
+    cut, number = vectors.Graph(rows.astype(np.float32), layers, graph.entry), np.arange(720)
+    got = sum(len(who) for _, who, _, _ in vectors.audited_search(cut, rows, rows, 0.9, own=number, names=number))
+    assert got == (rows @ rows.T >= 0.9).sum()
+
+
 @pytest.mark.parametrize("scale", [1e-35, 1.0, 1e35])
 def test_scale_does_not_matter(scale):
     assert np.allclose(vectors.normal(np.array([[3.0, 4.0]]) * scale), [[0.6, 0.8]])
