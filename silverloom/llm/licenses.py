@@ -1,18 +1,23 @@
 """License scan by a generalised suffix automaton over the words of license texts (operator 8).
 
 Texts are streamed through the automaton: at each word it holds the longest suffix of what was read
-that occurs in any template (the matching statistic). Maximal matches of ``MIN_MATCH`` words or more
-are chained, template by template, while they go forward in text and template with small gaps; a
-chain that covers ``MIN_COVER`` of its template gives a span and the template's label. Exact phrases
-give the base places and labels. A text's score is the largest share of a template that it covers.
+that occurs in any template (the matching statistic), and where in which template it occurs, each place.
+What matches there for ``MIN_MATCH`` words or more, as far as it goes, is chained, template by
+template, by dynamic programming: of all sequences of matches that go forward in text and template
+with gaps of at most ``MAX_GAP`` words that which covers most. A chain that covers ``MIN_COVER`` of its
+template gives a span and the template's label; of chains that overlap in the text those that cover
+most together. Exact phrases give the base places and labels. A text's score is the largest share of a
+template that a chain covers.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0; repeated
-rows each get their row; of two equally good matches every template counts; columns other than
+rows each get their row; of two chains that cover as much the later start counts; every template counts
+by itself; columns other than
 doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -54,29 +59,27 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; every state knows where in which sequence its
-    words end first."""
+    """Suffix automaton of several word sequences; every state knows all (sequence, place) at which its
+    words end."""
 
     def __init__(self, sequences: Iterable[list[int]]):
         self.go: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for number, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, at)
+                self.ends[last].add((number, at))
         for state in sorted(range(1, len(self.go)), key=lambda s: -self.length[s]):  # longest first, so links get all
-            up = self.ends[self.link[state]]
-            for number, at in self.ends[state].items():
-                up[number] = min(at, up.get(number, at))
-        self.ends[0] = {}
+            if self.link[state]:
+                self.ends[self.link[state]] |= self.ends[state]
 
     def _add(self, length: int, go: dict[int, int], link: int) -> int:
         self.go.append(go)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.go) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -100,11 +103,12 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
         return new
 
-    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
-        """(end, length, state) of the matches that can't be made longer to the right."""
+    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int, int]]:
+        """(sequence, end in words, end in the sequence, length) of all matches of so many words or more
+        that go as far as they can."""
         out, state, length = [], 0, 0
+        going: dict[tuple[int, int], int] = {}  # sequence, words ahead of it: where the match began
         for at, word in enumerate(words):
-            before = (at, length, state)
             while state and word not in self.go[state]:
                 state = self.link[state]
                 length = self.length[state]
@@ -112,11 +116,51 @@ class Automaton:
                 state, length = self.go[state][word], length + 1
             else:
                 length = 0
-            if before[1] >= least and length <= before[1]:
-                out.append(before)
-        if length >= least:
-            out.append((len(words), length, state))
-        return out
+            now = {}
+            if length >= least:
+                short = state
+                while self.length[self.link[short]] >= least:
+                    short = self.link[short]
+                for number, place in self.ends[short]:  # wherever the last ``least`` words stand
+                    now[number, at - place] = going.get((number, at - place), at + 1 - least)
+            out += [(n, at, at - ahead, at - first) for (n, ahead), first in going.items() if (n, ahead) not in now]
+            going = now
+        return out + [(n, len(words), len(words) - ahead, len(words) - first) for (n, ahead), first in going.items()]
+
+
+def best_chains(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(covered, first, end) of the best chain that ends with each match; matches: (end, end in the
+    template, length) in order. Words in which two matches overlap count once."""
+    out: list[tuple[int, int, int]] = []
+    for j, (end, reached, length) in enumerate(matches):
+        best = (length, end - length)
+        for i in range(j - 1, -1, -1):
+            last, before, _ = matches[i]
+            if last < end - length - gap:
+                break
+            fresh = min(length, end - last, reached - before)
+            if fresh > 0 and reached - length - before <= gap:
+                best = max(best, (out[i][0] + fresh, out[i][1]))
+        out.append((*best, end))
+    return out
+
+
+def apart(chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of chains, in order of their ends, those that don't overlap and cover most together."""
+    ends, total, picked = [c[2] for c in chains], [0], []
+    for covered, first, _ in chains:
+        before = bisect.bisect_right(ends, first, 0, len(picked))
+        good = total[before] + covered > total[-1]
+        picked.append(before if good else -1)
+        total.append(total[before] + covered if good else total[-1])
+    out, at = [], len(chains)
+    while at:
+        if picked[at - 1] >= 0:
+            out.append(chains[at - 1])
+            at = picked[at - 1]
+        else:
+            at -= 1
+    return out[::-1]
 
 
 class Scanner:
@@ -149,17 +193,11 @@ class Scanner:
                 pass
         return starts, ends, labels
 
-    def chains(self, words: list[bytes]) -> list[tuple[float, int, int, int]]:
-        """(covered share, template, first word, end) of each chain of matches."""
-        ids, get = [], self.ids.get
+    def chains(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], float]:
+        """(first word, end, template) of the chains that cover enough, and the best share covered."""
+        get = self.ids.get
         known = [get(w, 0) for w in words]
-        out: list[tuple[float, int, int, int]] = []
-        open_: dict[int, list[int]] = {}  # template: covered, first, end, end in the template
-
-        def close(number: int) -> None:
-            covered, first, end, _ = open_.pop(number)
-            out.append((covered / self.sizes[number], number, first, end))
-
+        by: dict[int, list[tuple[int, int, int]]] = {}
         at, n = 0, len(known)
         while at < n:
             if not known[at]:
@@ -169,31 +207,23 @@ class Scanner:
             while stop < n and known[stop]:
                 stop += 1
             if stop - at >= self.min_match:  # no match goes over a word that no template has
-                for end, length, state in self.automaton.matches(known[at:stop], self.min_match):
-                    first, end = at + end - length, at + end
-                    for number, place in self.automaton.ends[state].items():
-                        begin = place + 1 - length
-                        if number in open_:
-                            covered, start, last, reached = open_[number]
-                            fresh = min(length, end - last, place + 1 - reached)  # what overlaps counts once
-                            if fresh > 0 and first - last <= self.max_gap and begin - reached <= self.max_gap:
-                                open_[number] = [covered + fresh, start, end, place + 1]
-                                continue
-                            close(number)
-                        open_[number] = [length, first, end, place + 1]
+                for number, end, reached, length in self.automaton.matches(known[at:stop], self.min_match):
+                    by.setdefault(number, []).append((at + end, reached, length))
             at = stop
-        for number in list(open_):
-            close(number)
-        return sorted(out, key=lambda x: (x[2], x[1]))
+        spans, best = [], 0.0
+        for number, matches in by.items():
+            size, found = self.sizes[number], best_chains(sorted(matches), self.max_gap)
+            best = max(best, max(c[0] for c in found) / size)
+            spans += [(first, end, number) for _, first, end in apart([c for c in found if c[0] >= self.min_cover * size])]
+        return sorted(spans), best
 
     def scan(self, text: bytes) -> dict:
         low = text.translate(LETTERS)
         words = low.split()
         starts, _, base = self.places(words, low)
-        chains = self.chains(words)
-        spans = [(s, e, self.labels[t]) for c, t, s, e in chains if c >= self.min_cover]
-        score = max([1.0 if base else 0.0, *(c for c, *_ in chains)])
-        return {"n_words": len(words), "starts": starts, "base": base, "spans": sorted(set(spans)), "score": min(score, 1.0)}
+        chains, best = self.chains(words)
+        spans = {(first, end, self.labels[number]) for first, end, number in chains}
+        return {"n_words": len(words), "starts": starts, "base": base, "spans": sorted(spans), "score": 1.0 if base else best}
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:

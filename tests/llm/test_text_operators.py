@@ -1,7 +1,9 @@
 """Quality rules, license scan, secret scan, quality classifier against plain brute force."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -79,29 +81,92 @@ def test_license_base(odd_docs, small_docs):
         assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) for r in got)
 
 
-def test_matching_statistics_are_exact():
-    import random
+def all_matches(sequences, text, least):
+    """(sequence, end, end in the sequence, length) of what can't go on to either side, by comparing all."""
+    same = lambda s, i, j: 0 <= i < len(s) and 0 <= j < len(text) and s[i] == text[j]
+    out = []
+    for number, s in enumerate(sequences):
+        for i in range(len(s)):
+            for j in range(len(text)):
+                n = 0
+                while same(s, i + n, j + n):
+                    n += 1
+                if n >= least and not same(s, i - 1, j - 1):
+                    out.append((number, j + n, i + n, n))
+    return sorted(out)
+
+
+def best_cover(matches, gap):
+    """What the best sequence of matches covers, over all sequences."""
+
+    def go(i):
+        end, reached, _ = matches[i]
+        more = [min(n, e - end, r - reached) + go(j) for j, (e, r, n) in enumerate(matches) if e > end and r > reached and e - n - end <= gap and r - n - reached <= gap]
+        return max(more, default=0)
+
+    return max((m[2] + go(i) for i, m in enumerate(matches)), default=0)
+
 
+def test_matches_and_chains_against_brute_force():
     rng = random.Random(1)
-    sequences = [[rng.randrange(1, 4) for _ in range(rng.randrange(3, 15))] for _ in range(5)]
-    automaton = licenses.Automaton(sequences)
-    occurs = lambda x: any(s[i : i + len(x)] == x for s in sequences for i in range(len(s)))
-    for _ in range(100):
-        text = [rng.randrange(1, 4) for _ in range(25)]
-        longest = [max((n for n in range(1, e + 1) if occurs(text[e - n : e])), default=0) for e in range(1, len(text) + 1)]
-        want = [(e, n) for e, n in enumerate(longest, 1) if n >= 2 and (e == len(text) or longest[e] <= n)]
+    for _ in range(60):
+        sequences = [[rng.randrange(1, 4) for _ in range(rng.randrange(3, 15))] for _ in range(5)]
+        automaton = licenses.Automaton(sequences)
+        text = [rng.randrange(1, 4) for _ in range(rng.randrange(30))]
         got = automaton.matches(text, 2)
-        assert [(e, n) for e, n, _ in got] == want
-        for e, n, state in got:
-            for number, end in automaton.ends[state].items():
-                assert sequences[number][end + 1 - n : end + 1] == text[e - n : e]
+        assert sorted(got) == all_matches(sequences, text, 2)
+        for number in range(5):
+            some = sorted((e, r, n) for k, e, r, n in got if k == number)[:14]
+            assert max((c for c, _, _ in licenses.best_chains(some, 3)), default=0) == best_cover(some, 3)
+
+
+def test_edited_notices_against_brute_force():
+    """Random edits of notices: the score is that of the best chain of all."""
+    rng, scanner = random.Random(2), licenses.Scanner()
+    texts = [[scanner.ids[w] for w in licenses.words_of(t.encode())] for _, t in licenses.TEMPLATES]
+    names = {i: w for w, i in scanner.ids.items()}
+    for _ in range(40):
+        number = rng.randrange(len(texts))
+        words = [names[i] for i in texts[number]][:45]
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randrange(3)] = rng.choices([b"other", b"words", b"license", *words], k=rng.randrange(4))
+        found = all_matches(texts, [scanner.ids.get(w, -1) for w in words], licenses.MIN_MATCH)
+        want = max((best_cover([m[1:] for m in found if m[0] == k], licenses.MAX_GAP) / len(texts[k]) for k in range(len(texts))), default=0)
+        got = scanner.scan(b" ".join(words))
+        assert abs(got["score"] - (1 if got["base"] else want)) < 1e-12
+
+
+def test_apart_takes_most():
+    chains = [(3, 0, 4), (5, 2, 9), (4, 4, 10), (3, 10, 13)]
+    assert licenses.apart(chains) == [(3, 0, 4), (4, 4, 10), (3, 10, 13)]
+    assert licenses.apart([]) == []
+
+
+@pytest.mark.parametrize("inserted", ["(see copies of the software)", "x y the rights to use copies of the software"])
+def test_an_inserted_phrase_of_the_notice_itself(inserted):
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and "hereby" in t)
+    words, scanner = mit.split(), licenses.Scanner()
+    for at in range(0, len(words), 5):
+        found = scanner.scan(" ".join([*words[:at], inserted, *words[at:]]).encode())
+        assert [label for _, _, label in found["spans"]] == ["mit"] and found["score"] >= 0.9
+    twice = scanner.scan(f"{mit} {mit}".encode())
+    n = len(licenses.words_of(mit.encode()))
+    assert twice["spans"] == [(0, n, "mit"), (n, 2 * n, "mit")]
+
+
+def test_many_notices_take_linear_time():
+    scanner, began = licenses.Scanner(), time.perf_counter()
+    assert len(scanner.scan(b"Released under the MIT License. " * 20_000)["spans"]) == 20_000
+    scanner.scan(b"copies of the software " * 50_000)
+    assert time.perf_counter() - began < 20
 
 
 def test_license_spans():
     scanner = licenses.Scanner()
     text = "Intro words. Licensed under CC BY-NC 4.0. More words follow."
     found = scanner.scan(text.encode())
-    assert found["spans"] == [(2, 8, "cc-by-nc")] and found["score"] == 1
+    assert found["spans"] == [(2, 9, "cc-by-nc")] and found["score"] == 1  # "4.0" is two words
     gpl = next(t for label, t in licenses.TEMPLATES if label == "gpl" and "redistribute" in t)
     changed = gpl.replace("Foundation,", "Foundation of ours,")
     assert any(label == "gpl" for _, _, label in scanner.scan(changed.encode())["spans"])
