@@ -1,21 +1,26 @@
 """Scores of whole texts by a gated recurrent language model (operator 5).
 
-Words are counted over all training documents. The ``MODEL_WORDS`` most frequent, in classes of
-``CLASS_SIZE`` by frequency, make the model's output: P(class | state) * P(word | class, state); all
-other words are one more class, within which each has its smoothed share (c + 0.1) / U, so the model
-is a distribution over the same word types as the unigram base. A GRU reads the text; it is trained
-by truncated backpropagation in numpy: ``ROUNDS`` rounds, in each of which shards of the training
-documents are trained from the same parameters in parallel, state carried from window to window, and
-the parameters averaged. Every training document is in one of the rounds.
-Texts are scored whole, many in step, with state carried across windows.
+Words are counted over all training documents. The model's outputs are the most frequent words, of
+which it takes more the more distinct words there are, and the endings (``ENDING`` letters) of all
+other words: P(class | state) * P(output | class, state), with classes of like frequency and of about
+the square root of the number of outputs. A word that is no output has its share of its ending by
+absolute discounting: (c - d) / T of the ending's T tokens, and d * types / T for all words with that
+ending that training never saw. So the model is a distribution over the word types of training and an
+unseen one for each ending; the unigram base has one unseen type for all.
+
+A GRU reads the text; it is trained by truncated backpropagation in numpy: ``ROUNDS`` rounds, in each
+of which shards of the training documents are trained from the same parameters in parallel, state
+carried from window to window, and the parameters averaged. Every training document is in one of
+the rounds. Texts are scored whole, many in step, with state carried across windows.
 
 Counts of the most frequent words (``HEAD`` at most) are known to every worker; what texts hold of all
 other words goes through a join with the table of counts, which is never broadcast or collected.
 
 Defined results: a null or empty text is the end token alone; a null doc_id has the remainder of an
-empty text (0: held out); without training documents the counts are zero and the model is the even
-distribution of its classes; repeated rows each get their row; a doc_id's rows are all in training or
-none; columns other than doc_id and text are ignored; an empty table gives an empty result.
+empty text (0: held out); without training documents the counts are zero, the base is even over one
+unseen type and the model knows the end token and the unseen type alone; repeated rows each get their row; a doc_id's
+rows are all in training or none; columns other than doc_id and text are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +36,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import remainder, schema_with, settle, text_bytes, to_arrow
 
 END = b"\n"  # no word holds white space
-HIDDEN, MODEL_WORDS, CLASS_SIZE, HEAD = 32, 4096, 64, 200_000
-#: Training: rounds, share of the training documents, tokens a shard has about, streams, steps back, rates.
-ROUNDS, SHARE, SHARD_TOKENS, STREAMS, STEPS = 3, 1.0, 1_000_000, 64, 24
+HIDDEN, HEAD = 32, 200_000
+#: Words of the model: so many times the square root of the distinct words, but at least the second;
+#: endings: at most so many, of so many bytes, on as much of the text as their own words have.
+WORDS_A_ROOT, FEWEST_WORDS, ENDINGS, ENDING = 4.0, 1024, 1024, 3
+#: Training: rounds, tokens a shard has about, streams, windows that a shard has at least, steps back, rates.
+ROUNDS, SHARD_TOKENS, STREAMS, WINDOWS, STEPS = 3, 2_000_000, 512, 150, 24
 RATES = (0.006, 0.004, 0.002)
 #: Scoring: documents in step, tokens a block holds, tokens a window holds.
 TOGETHER, BLOCK_TOKENS, WINDOW_TOKENS = 4096, 3_000_000, 32_768
@@ -75,19 +83,46 @@ def log_sums(logits: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """The model's words in order of frequency, END among them, and their counts."""
+    """The model's outputs in order of their tokens: words, END among them, and endings (None: all other
+    endings), with their tokens; of the endings also the types, and the discount d."""
 
-    words: list[bytes]
-    counts: np.ndarray
-    rest: float  # smoothed mass of all other words
+    words: dict[bytes, int]
+    endings: dict[bytes | None, int]
+    tokens: np.ndarray
+    types: dict[int, int]
+    discount: float
 
-    @property
-    def classes(self) -> int:
-        return -(-len(self.words) // CLASS_SIZE)
+    def place(self, word: bytes) -> int:
+        got = self.words.get(word)
+        return got if got is not None else self.ending(word)
+
+    def ending(self, word: bytes) -> int:
+        got = self.endings.get(word[-ENDING:])
+        return got if got is not None else self.endings[None]
+
+    def share(self, place: int, count: float) -> float:
+        """log10 of the share that a word of such a count has of its ending; 0: all unseen words."""
+        whole = max(self.tokens[place], 1e-9)
+        part = count - self.discount if count else self.discount * self.types[place]
+        return float(np.log10(part / whole)) if part > 0 and self.tokens[place] else 0.0
 
     @property
-    def other(self) -> int:
-        return len(self.words)
+    def class_size(self) -> int:
+        return 1 << max(3, round(np.log2(len(self.tokens)) / 2))
+
+
+class Places(dict):
+    """The outputs of words, remembered."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.words)
+        self.of = vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        got = self.of.ending(word)
+        if len(self) < HEAD:
+            self[word] = got
+        return got
 
 
 class Recurrent:
@@ -98,26 +133,31 @@ class Recurrent:
 
     @classmethod
     def fresh(cls, words: Vocabulary, hidden: int = HIDDEN, seed: int = 7) -> "Recurrent":
-        rng, k, c = np.random.default_rng(seed), len(words.words), words.classes
-        mass = np.zeros(c * CLASS_SIZE)
-        mass[:k] = words.counts + 0.1
-        by_class = mass.reshape(c, CLASS_SIZE)
+        rng, k, size = np.random.default_rng(seed), len(words.tokens), words.class_size
+        c = -(-k // size)
+        mass = np.zeros(c * size)
+        mass[:k] = words.tokens + 0.1
+        by_class = mass.reshape(c, size)
         with np.errstate(divide="ignore"):
             inner = np.log(by_class)
         normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         return cls(
             {
-                "embed": normal(k + 1, hidden, scale=0.3),
+                "embed": normal(k, hidden, scale=0.3),
                 "into": normal(hidden, 3 * hidden, scale=hidden**-0.5),
                 "bias": np.zeros(3 * hidden, np.float32),
                 "loop": normal(hidden, 3 * hidden, scale=hidden**-0.5),
-                "class": normal(hidden, c + 1, scale=0.05),
-                "class_bias": np.log(np.append(by_class.sum(1), words.rest)).astype(np.float32),
-                "word": normal(c, hidden, CLASS_SIZE, scale=0.05),
+                "class": normal(hidden, c, scale=0.05),
+                "class_bias": np.log(by_class.sum(1)).astype(np.float32),
+                "word": normal(c, hidden, size, scale=0.05),
                 "word_bias": np.where(np.isfinite(inner), inner, -1e9).astype(np.float32),
             }
         )
 
+    @property
+    def class_size(self) -> int:
+        return self.p["word"].shape[2]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """x: the input's part of the gates. New state, and what the way back needs."""
         n = h.shape[1]
@@ -132,9 +172,8 @@ class Recurrent:
         return self.p["embed"] @ self.p["into"] + self.p["bias"]
 
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log of P(id | state); of other words, that of their class."""
-        classes = ids // CLASS_SIZE
-        classes[ids == len(self.p["embed"]) - 1] = len(self.p["word"])
+        """Natural log of P(output | state)."""
+        classes = ids // self.class_size
         logits = h @ self.p["class"]
         logits += self.p["class_bias"]
         out = logits[np.arange(len(ids)), classes]
@@ -142,7 +181,7 @@ class Recurrent:
         for c, rows in by_class(classes, len(self.p["word"])):
             logits = h[rows] @ self.p["word"][c]
             logits += self.p["word_bias"][c]
-            own = logits[np.arange(len(rows)), ids[rows] - c * CLASS_SIZE]
+            own = logits[np.arange(len(rows)), ids[rows] - c * self.class_size]
             out[rows] += own - log_sums(logits)
         return out
 
@@ -159,8 +198,7 @@ class Recurrent:
             h = new
         flat, ys = np.concatenate(states), ids.ravel()
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        classes = ys // CLASS_SIZE
-        classes[ys == len(p["embed"]) - 1] = len(p["word"])
+        classes = ys // self.class_size
         share = softmax(flat @ p["class"] + p["class_bias"])
         every = np.arange(len(ys))
         loss = -np.log(np.maximum(share[every, classes], 1e-30)).sum()
@@ -169,7 +207,7 @@ class Recurrent:
         d = share @ p["class"].T
         for c, rows in by_class(classes, len(p["word"])):
             inner = softmax(flat[rows] @ p["word"][c] + p["word_bias"][c])
-            at = (np.arange(len(rows)), ys[rows] - c * CLASS_SIZE)
+            at = (np.arange(len(rows)), ys[rows] - c * self.class_size)
             loss -= np.log(np.maximum(inner[at], 1e-30)).sum()
             inner[at] -= 1
             g["word"][c], g["word_bias"][c] = flat[rows].T @ inner, inner.sum(0)
@@ -208,7 +246,7 @@ def by_class(classes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def train(model: Recurrent, ids: np.ndarray, end: int, rate: float) -> Recurrent:
     """One pass over a sequence of documents, each closed by END, dealt to streams that are read in step."""
-    streams = int(max(1, min(max(8, min(STREAMS, len(ids) // (300 * STEPS))), len(ids) // STEPS)))  # 300 windows or more, if there are so many
+    streams = int(max(1, min(max(8, min(STREAMS, len(ids) // (WINDOWS * STEPS))), len(ids) // STEPS)))
     length = len(ids) // streams
     rows = ids[: length * streams].reshape(streams, length).T
     ahead = np.vstack([np.full((1, streams), end, rows.dtype), rows[:-1]])
@@ -297,33 +335,54 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
     return [w for w, _ in rows], np.array([c for _, c in rows], float)
 
 
-def model_words(words: list[bytes], counts: np.ndarray, types: int, total: int, most: int) -> Vocabulary:
-    """The most frequent words and END; rest: what (c + 0.1) sums to over all others and one unseen."""
-    picked = words[:most]
-    if END not in picked:
-        picked = [*picked[: most - 1], END]
+def model_words(words: list[bytes], counts: np.ndarray, types: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """The words that are outputs, END among them, and their counts."""
+    most = max(FEWEST_WORDS, round(WORDS_A_ROOT * types**0.5))
+    picked = words[:most] if END in words[:most] else [*words[: most - 1], END]
     by = dict(zip(words, counts))
-    own = np.array([by.get(w, 0.0) for w in picked])
-    seen = sum(w in by for w in picked)
-    return Vocabulary(picked, own, float(total - own.sum() + 0.1 * (types - seen) + 0.1))
-
-
-def train_model(docs: DataFrame, words: Vocabulary, tokens: int, share: float = SHARE, rounds: int = ROUNDS) -> Recurrent:
+    return picked, np.array([by.get(w, 0.0) for w in picked])
+
+
+def model_endings(counts: DataFrame, picked: list[bytes]) -> list[tuple[bytes | None, int, int, int, int]]:
+    """ending, tokens, types, types seen once and twice, of the words that are no outputs: the ENDINGS
+    with most tokens, and None for all others."""
+    own = counts.sparkSession.createDataFrame([(w,) for w in picked], "w binary")  # as many as the model's words
+    rest = counts.join(F.broadcast(own), F.col("word") == F.col("w"), "left_anti")
+    sums = (F.sum("c").alias("tokens"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"))
+    by = rest.groupBy(F.substring("word", -ENDING, ENDING).alias("ending")).agg(*sums)
+    top = settle(by, "word-endings").orderBy(F.desc("tokens"), "ending")
+    rows = [(bytes(r["ending"]), r["tokens"], r["types"], r["once"], r["twice"]) for r in top.limit(ENDINGS).collect()]
+    every = top.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
+    return [*rows, (None, *(int(x) - sum(r[i] for r in rows) for i, x in enumerate(every, 1)))]
+
+
+def make_vocabulary(picked: list[bytes], counts: np.ndarray, endings: list[tuple[bytes | None, int, int, int, int]]) -> Vocabulary:
+    items = [(float(c), w, 0) for w, c in zip(picked, counts)] + [(float(r[1]), r[0], i + 1) for i, r in enumerate(endings)]
+    items.sort(key=lambda x: (-x[0], x[2] > 0, x[1] or b"", x[1] is None))
+    words, places, types = {}, {}, {}
+    for place, (_, name, of) in enumerate(items):
+        if of:
+            places[name], types[place] = place, endings[of - 1][2]
+        else:
+            words[name] = place
+    once, twice = (sum(r[i] for r in endings) for i in (3, 4))
+    return Vocabulary(words, places, np.array([x[0] for x in items]), types, min(0.95, max(0.05, once / max(once + 2 * twice, 1))))
+
+
+def train_model(docs: DataFrame, words: Vocabulary, tokens: int, rounds: int = ROUNDS) -> Recurrent:
     """docs: the training documents. Rounds of parallel training over shards, then averaging."""
     model = Recurrent.fresh(words)
-    if not tokens:
+    if not tokens or not rounds:
         return model
-    end, other = words.words.index(END), words.other
-    ids = {w: i for i, w in enumerate(words.words)}
-    shards = max(1, round(tokens * share / rounds / SHARD_TOKENS))
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1_000_000))
-    used = docs.filter(part < int(1_000_000 * share)).select("doc_id", "text", F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).alias("shard"))
+    end = words.words[END]
+    shards = max(1, round(tokens / rounds / SHARD_TOKENS))
+    used = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)).alias("shard"))
     schema = schema_with(used, ["round", "shard"], "order long, ids binary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = ids.get
+        known = Places(words)
         for batch in batches:
-            made = [np.array([get(w, other) for w in tokens_of(x)], np.uint16).tobytes() for x in text_bytes(batch.column("text"))]
+            made = [np.array([known[w] for w in tokens_of(x)], np.int32).tobytes() for x in text_bytes(batch.column("text"))]
             keys = [int.from_bytes(x[:7], "little") ^ len(x) for x in made]
             yield pa.RecordBatch.from_arrays([batch.column("round"), batch.column("shard"), pa.array(keys, pa.int64()), pa.array(made, pa.binary())], schema=to_arrow(schema))
 
@@ -335,15 +394,34 @@ def train_model(docs: DataFrame, words: Vocabulary, tokens: int, share: float =
             rows = sorted(zip(table["order"].to_pylist(), table["ids"].to_pylist()))
             rng = np.random.default_rng(number)
             rows = [rows[i][1] for i in rng.permutation(len(rows))]
-            one = train(Recurrent({k: v.copy() for k, v in parameters.items()}), np.frombuffer(b"".join(rows), np.uint16), end, RATES[min(number, len(RATES) - 1)])
+            one = train(Recurrent({k: v.copy() for k, v in parameters.items()}), np.frombuffer(b"".join(rows), np.int32), end, RATES[min(number, len(RATES) - 1)])
             names = list(one.p)
-            return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(names), pa.int64()), "name": names, "v": pa.array([one.p[k].tobytes() for k in names], pa.binary())})
+            return pa.table({"name": names, "n": pa.array([1] * len(names), pa.int64()), "v": pa.array([one.p[k].tobytes() for k in names], pa.binary())})
+
+        def add(sums: dict[str, list], batch: pa.RecordBatch | pa.Table) -> None:
+            for name, n, v in zip(batch["name"].to_pylist(), batch["n"].to_pylist(), batch["v"]):
+                v = np.frombuffer(v.as_buffer(), np.float32)
+                if name in sums:
+                    sums[name][0] += n
+                    sums[name][1] += v
+                else:
+                    sums[name] = [n, v.astype(float)]
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One sum a task, so that what meets below doesn't grow with the shards."""
+            sums: dict[str, list] = {}
+            for batch in batches:
+                add(sums, batch)
+            if sums:
+                yield pa.RecordBatch.from_pydict({"name": list(sums), "n": pa.array([n for n, _ in sums.values()], pa.int64()), "v": pa.array([v.astype(np.float32).tobytes() for _, v in sums.values()], pa.binary())})
 
         def average(table: pa.Table) -> pa.Table:
-            rows = [np.frombuffer(v, np.float32).astype(float) for _, v in sorted(zip(table["shard"].to_pylist(), table["v"].to_pylist()))]
-            return pa.table({"name": [table["name"][0].as_py()], "v": pa.array([(sum(rows) / len(rows)).astype(np.float32).tobytes()], pa.binary())})
+            sums: dict[str, list] = {}
+            add(sums, table)
+            return pa.table({"name": list(sums), "v": pa.array([(v / n).astype(np.float32).tobytes() for n, v in sums.values()], pa.binary())})
 
-        learnt = encoded.filter(F.col("round") == number).groupBy("shard").applyInArrow(learn, "shard long, name string, v binary")
+        kind = "name string, n long, v binary"
+        learnt = encoded.filter(F.col("round") == number).groupBy("shard").applyInArrow(learn, kind).mapInArrow(summed, kind)
         got = learnt.groupBy("name").applyInArrow(average, "name string, v binary").collect()  # one row a parameter
         if got:
             model = Recurrent({r["name"]: np.frombuffer(r["v"], np.float32).reshape(parameters[r["name"]].shape).copy() for r in got})
@@ -352,25 +430,26 @@ def train_model(docs: DataFrame, words: Vocabulary, tokens: int, share: float =
 
 def read_texts(docs: DataFrame, keep: list[str], words: list[bytes], counts: np.ndarray, vocabulary: Vocabulary, model: Recurrent) -> DataFrame:
     """For each document: keep, n_tokens, n_head (known tokens among frequent words), base_head and
-    lm_head (sums of log10), n_tail, and tail: its other words with their numbers."""
+    lm_head (sums of log10), and tail: its other words with their numbers, log10 of their ending's
+    tokens, and of the share that unseen words have of it."""
     kept = docs.select(*keep, "text")
-    schema = schema_with(kept, keep, "n_tokens long, n_head long, base_head double, lm_head double, n_tail long, tail array<struct<word: binary, n: long>>")
+    schema = schema_with(kept, keep, "n_tokens long, n_head long, base_head double, lm_head double, tail array<struct<word: binary, n: long, whole: double, unseen: double>>")
     place = {w: i for i, w in enumerate(words)}
     weight = np.log10(counts + 0.1)
-    own = np.full(len(words) + 1, vocabulary.other, np.int64)  # the model's id of each frequent word
-    for i, w in enumerate(vocabulary.words):
-        if w in place:
-            own[place[w]] = i
-    end, ln10 = vocabulary.words.index(END), np.log(10)
-    rest = np.log10(vocabulary.rest)
+    own = np.array([vocabulary.place(w) for w in words] + [0], np.int64)  # the model's output for each frequent word
+    inner = np.array([0.0 if w in vocabulary.words else vocabulary.share(vocabulary.ending(w), c) for w, c in zip(words, counts)] + [0.0])
+    whole = np.log10(np.maximum(vocabulary.tokens, 1.0))
+    unseen = {i: vocabulary.share(i, 0) for i in vocabulary.types}
+    end, ln10 = vocabulary.words[END], np.log(10)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, target = place.get, to_arrow(schema)
+        get, target, rest_place = place.get, to_arrow(schema), vocabulary.endings[None]
         held: list[pa.RecordBatch] = []
         rows: list[tuple] = []
         ids: list[np.ndarray] = []
         tails: list[bytes] = []
         numbers: list[int] = []
+        of: list[int] = []
         edges, size = [0], 0
 
         def done() -> pa.RecordBatch:
@@ -379,8 +458,9 @@ def read_texts(docs: DataFrame, keep: list[str], words: list[bytes], counts: np.
             first = [pa.concat_arrays([b.column(c) for b in held]) for c in keep]
             plain = [pa.array(v, target.field(len(keep) + i).type) for i, v in enumerate(columns)]
             kind = target.field(len(target) - 1).type
-            inner = pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(numbers, pa.int64())], fields=list(kind.value_type))
-            return pa.RecordBatch.from_arrays([*first, *plain, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), inner, type=kind)], schema=target)
+            parts = [pa.array(tails, pa.binary()), pa.array(numbers, pa.int64()), pa.array(whole[of], pa.float64()), pa.array([unseen[i] for i in of], pa.float64())]
+            rest = pa.StructArray.from_arrays(parts, fields=list(kind.value_type))
+            return pa.RecordBatch.from_arrays([*first, *plain, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rest, type=kind)], schema=target)
 
         for batch in batches:
             fresh = 0
@@ -388,21 +468,28 @@ def read_texts(docs: DataFrame, keep: list[str], words: list[bytes], counts: np.
                 tokens = tokens_of(text)
                 found = np.array([get(w, -1) for w in tokens], np.int64)
                 known, lost = found[found >= 0], np.flatnonzero(found < 0).tolist()
-                tail = Counter([tokens[i] for i in lost])
+                mine = own[found]
+                if lost and lost[-1] == len(tokens) - 1 and END not in place:  # END is an output in any case
+                    lost.pop()
+                    tail = Counter([tokens[i] for i in lost])
+                    tail[END] = 1
+                    mine[-1] = end
+                else:
+                    tail = Counter([tokens[i] for i in lost])
+                ends = {w: vocabulary.ending(w) for w in tail if w != END}
+                for i in lost:
+                    mine[i] = ends[tokens[i]]
                 tails += tail.keys()
                 numbers += tail.values()
+                of += [ends.get(w, rest_place) for w in tail]
                 edges.append(len(tails))
-                mine = own[found]
-                mine[-1] = end
-                outside = (mine == vocabulary.other) & (found >= 0)
-                lm = weight[found[outside]].sum() - outside.sum() * rest
-                rows.append((len(tokens), len(known), float(weight[known].sum()), float(lm), len(lost) - (END in tail)))  # END is the model's in any case
-                ids.append(mine.astype(np.uint16))
+                rows.append((len(tokens), len(known), float(weight[known].sum()), float(inner[known].sum())))
+                ids.append(mine)
                 size += len(tokens)
                 if len(ids) >= TOGETHER or size >= BLOCK_TOKENS:
                     held.append(batch.slice(fresh, at + 1 - fresh))
                     yield done()
-                    held, rows, ids, tails, numbers, edges, size, fresh = [], [], [], [], [], [0], 0, at + 1
+                    held, rows, ids, tails, numbers, of, edges, size, fresh = [], [], [], [], [], [], [0], 0, at + 1
             if fresh < batch.num_rows:
                 held.append(batch.slice(fresh))
         if ids:
@@ -411,7 +498,7 @@ def read_texts(docs: DataFrame, keep: list[str], words: list[bytes], counts: np.
     return kept.mapInArrow(read, schema)
 
 
-def score_texts(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document; held_out
     tells which documents no count and no training may see."""
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
@@ -419,13 +506,15 @@ def score_texts(docs: DataFrame, held_out: Column, share: float = SHARE) -> Data
     counts = settle(count_words(training), "word-counts")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, frequency = frequent(counts, HEAD)
-    vocabulary = model_words(words, frequency, types, total, MODEL_WORDS)
-    model = train_model(training, vocabulary, total, share)
+    picked, own = model_words(words, frequency, types)
+    vocabulary = make_vocabulary(picked, own, model_endings(counts, picked))
+    model = train_model(training, vocabulary, total, rounds)
     named = docs.withColumn("row", F.monotonically_increasing_id())
     read = settle(read_texts(named, ["row", "doc_id", "held_out"], words, frequency, vocabulary, model), "texts-read")
     tail = read.select("row", F.inline("tail")).join(counts.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
     c = F.coalesce("c", F.lit(0))
-    sums = tail.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("tail_sum"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.when(F.col("word") != END, F.col("n") * F.log10(c + 0.1)).otherwise(0.0)).alias("tail_other"))
+    share = F.when(F.col("word") == END, 0.0).when(c > 0, F.log10(c - vocabulary.discount) - F.col("whole")).otherwise(F.col("unseen"))
+    sums = tail.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("tail_sum"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"), F.sum(F.col("n") * share).alias("tail_share"))
     found = read.drop("tail").join(sums, F.col("row") == F.col("of"), "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return found.select(
@@ -435,7 +524,7 @@ def score_texts(docs: DataFrame, held_out: Column, share: float = SHARE) -> Data
         (F.col("n_head") + zero("tail_known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_head") + zero("tail_sum") - F.col("n_tokens") * float(np.log10(total + 0.1 * (types + 1)))).alias("base_score"),
-        (F.col("lm_head") + zero("tail_other") - F.col("n_tail") * float(np.log10(vocabulary.rest))).alias("score"),
+        (F.col("lm_head") + zero("tail_share")).alias("score"),
     )
 
 
