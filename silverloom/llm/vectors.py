@@ -33,10 +33,12 @@ from .simhash import Forest
 THRESHOLD, AUDIT_RECALL, AUDIT_QUERIES, AUDIT_LINKED = 0.9, 0.995, 256, 64
 #: Links of a node (twice as many in the lowest layer), beam while building, first beam of a search.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 64, 32
-#: Shards: this many at least, more for more than this many rows each. Queries in a block.
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 200_000, 16_384
-#: Bytes that the marks of seen nodes may take while a block is searched.
-MARKS = 1 << 25
+#: Shards: this many at least, more for more than so many rows, or so many bytes of vectors, each. A
+#: block of queries is as large as a shard, so that a graph is sent as often as its vectors ask.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 100_000, 1 << 26
+#: Bytes that the marks of seen nodes may take while queries go in step; hits that they may have;
+#: nodes whose neighbours are looked at together in a flood.
+MARKS, HITS, FRONT = 1 << 25, 1 << 21, 1 << 16
 
 
 class Graph:
@@ -146,8 +148,9 @@ class Graph:
             self.back = np.searchsorted(ends[order], np.arange(len(self.unit) + 1)), whose[order]
         return self.back
 
-    def search(self, q: np.ndarray, beam: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the query, node) of what lies at floor or above; all queries go in step."""
+    def search(self, q: np.ndarray, beam: int, floor: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(place of the query, node) of what lies at floor or above; all queries go in step. None: more
+        than ``most`` were found, too many to go on together."""
         n, b = len(self.unit), len(q)
         at = np.full(b, self.entry)
         best = self.unit[at[:1]] @ q.T
@@ -191,33 +194,46 @@ class Graph:
             names = np.concatenate([ids[going], np.where(got > -2, around, -1)], 1)
             done = np.concatenate([read[going], np.zeros_like(fresh)], 1)
             ids[going], sims[going], read[going] = names[pick, top], every[pick, top], done[pick, top]
-        found = np.unique(np.concatenate(hits))
-        front = found
+        front = np.unique(np.concatenate(hits))
+        found, total, todo = [front], len(front), [front]
         flat = seen.reshape(-1)
         back_from, back = self.reversed_links()
-        while len(front):  # flood: neighbours of hits, by links of either way, though the beam had no room
+        while todo:  # flood: neighbours of hits, by links of either way, though the beam had no room
+            if most is not None and total > most:
+                return None
+            front = todo.pop()
+            if len(front) > FRONT:
+                todo += [front[FRONT:], front[:FRONT]]
+                continue
             who, node = np.divmod(front, n)
             around = self.layers[0][node]
             size, first = back_from[node + 1] - back_from[node], back_from[node]
             place = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-            key = np.unique(np.concatenate([(who[:, None] * n + around)[around >= 0], np.repeat(who, size) * n + back[place]]))
-            key = key[~flat[key]]
+            key = np.concatenate([(who[:, None] * n + around)[around >= 0], np.repeat(who, size) * n + back[place]])
+            key = np.unique(key[~flat[key]])
             flat[key] = True
             who, node = np.divmod(key, n)
             near = np.concatenate([np.einsum("xd,xd->x", self.unit[node[i : i + 65536]], q[who[i : i + 65536]]) for i in range(0, len(key), 65536)] or [np.zeros(0)])
             front = key[near >= floor]
-            found = np.concatenate([found, front])
-        return np.divmod(np.sort(found), n)
-
-    def dump(self) -> bytes:
+            if len(front):
+                found.append(front)
+                todo.append(front)
+                total += len(front)
+        return np.divmod(np.sort(np.concatenate(found)), n)
+
+    def dump(self, raw: np.ndarray, **more: np.ndarray) -> bytes:
+        """raw: the vectors that ``unit`` was made of, which is not stored itself."""
         out = io.BytesIO()
-        np.savez(out, unit=self.unit, entry=self.entry, **{f"layer{k}": x for k, x in enumerate(self.layers)})
+        np.savez(out, raw=raw, entry=self.entry, **{f"layer{k}": x for k, x in enumerate(self.layers)}, **more)
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> "Graph":
+    def load(cls, data: bytes) -> tuple["Graph", np.ndarray, dict[str, np.ndarray]]:
+        """The graph, its vectors at length one in double precision, and what else was stored."""
         got = np.load(io.BytesIO(data))
-        return cls(got["unit"], [got[f"layer{k}"] for k in range(len(got.files) - 2)], int(got["entry"]))
+        exact = normal(got["raw"].astype(float))
+        layers = [got[f"layer{k}"] for k in range(sum(f.startswith("layer") for f in got.files))]
+        return cls(exact.astype(np.float32), layers, int(got["entry"])), exact, {f: got[f] for f in got.files if f not in ("raw", "entry") and not f.startswith("layer")}
 
 
 def normal(vectors: np.ndarray) -> np.ndarray:
@@ -236,7 +252,7 @@ def audited_search(graph: Graph, exact: np.ndarray, queries: np.ndarray, thresho
     """(first query, place of the query in the part, node, beam) part by part, with a beam that
     passed the audit. own, names: numbers of the queries and of the nodes; equal ones are no evidence."""
     n, single = len(exact), queries.astype(np.float32)
-    size = max(16, min(1024, MARKS // n))
+    largest = size = max(16, min(1024, MARKS // n))
     order, sample, links = np.random.default_rng(13).permutation(len(queries)), np.zeros(0, int), np.zeros(0, int)
     for i in range(0, len(order), AUDIT_QUERIES):
         part = order[i : i + AUDIT_QUERIES]
@@ -248,32 +264,51 @@ def audited_search(graph: Graph, exact: np.ndarray, queries: np.ndarray, thresho
         if len(sample) >= AUDIT_LINKED:
             break
     kinds = np.log2(np.maximum(links, 1)).astype(int)
+
+    def searched(picked: np.ndarray, beam: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first and number of queries, place of the query among these, node); as many queries go in
+        step as their hits allow."""
+        nonlocal size
+        at = 0
+        while at < len(picked):
+            part = picked[at : at + size]
+            if beam >= n:
+                part = part[: max(1, min(len(part), HITS // n))]
+                who, node = np.nonzero(queries[part] @ exact.T >= threshold)
+            else:
+                got = graph.search(single[part], beam, threshold - 1e-3, HITS if len(part) > 1 else None)
+                if got is None:
+                    size = max(1, len(part) // 2)
+                    continue
+                who, node = got
+                keep = verified(exact, queries[part], who, node, threshold)
+                who, node = who[keep], node[keep]
+                if len(who) < HITS // 4:
+                    size = min(largest, 2 * size)
+            yield at, len(part), who, node
+            at += len(part)
+
     while len(sample) and beam < n:
         found = np.zeros(len(sample))
-        for i in range(0, len(sample), size):
-            part = sample[i : i + size]
-            who, node = graph.search(single[part], beam, threshold - 1e-3)
-            fine = verified(exact, queries[part], who, node, threshold)
+        for at, count, who, node in searched(sample, beam):
             if own is not None:
-                fine &= own[part][who] != names[node]
-            found[i : i + size] = np.bincount(who[fine], minlength=len(part))
+                who = who[own[sample[at : at + count]][who] != names[node]]
+            found[at : at + count] = np.bincount(who, minlength=count)
         by_kind = np.bincount(kinds, found / links)[np.unique(kinds)] / np.bincount(kinds)[np.unique(kinds)]
         if by_kind.min() >= recall:
             break
         beam = min(2 * beam, n)
-    for i in range(0, len(queries), size):
-        if beam >= n:
-            who, node = np.nonzero(queries[i : i + size] @ exact.T >= threshold)
-        else:
-            who, node = graph.search(single[i : i + size], beam, threshold - 1e-3)
-            keep = verified(exact, queries[i : i + size], who, node, threshold)
-            who, node = who[keep], node[keep]
-        yield i, who, node, beam
+    for at, _, who, node in searched(np.arange(len(queries)), beam):
+        yield at, who, node, beam
 
 
-def rows_of(table: pa.Table) -> np.ndarray:
+def raw_rows(table: pa.Table) -> np.ndarray:
     column = table["embedding"].combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def rows_of(table: pa.Table) -> np.ndarray:
+    return raw_rows(table).astype(float)
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
@@ -291,11 +326,9 @@ def build_shards(classes: DataFrame, shards: int) -> DataFrame:
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("cid")
-        exact = normal(rows_of(table))
-        out = io.BytesIO()
-        numbers = {c: table[c].to_numpy() for c in ("cid", "rep", "copies")}
-        np.savez(out, exact=exact, graph=np.frombuffer(Graph.build(exact.astype(np.float32)).dump(), np.uint8), **numbers)
-        return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), "graph": pa.array([out.getvalue()], pa.binary())})
+        graph = Graph.build(normal(rows_of(table)).astype(np.float32))
+        stored = graph.dump(raw_rows(table), **{c: table[c].to_numpy() for c in ("cid", "rep", "copies")})
+        return pa.table({"dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), "graph": pa.array([stored], pa.binary())})
 
     return settle(placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary"), "vector-graphs")
 
@@ -310,12 +343,12 @@ def search_shards(classes: DataFrame, graphs: DataFrame, shards: int, blocks: in
         beam = 0
         if len(queries) and len(graph):
             queries = queries.sort_by("cid")
-            got = np.load(io.BytesIO(graph["graph"][0].as_py()))
+            made, exact, got = Graph.load(graph["graph"][0].as_py())
             own, mine = queries["cid"].to_numpy(), queries["rep"].to_numpy()
             names = np.unique(np.concatenate([mine, got["rep"]]))
             forest = Forest(len(names))
             ask, node_of = np.searchsorted(names, mine), np.searchsorted(names, got["rep"])
-            for first, who, node, beam in audited_search(Graph.load(got["graph"].tobytes()), got["exact"], normal(rows_of(queries)), threshold, own=own, names=got["cid"]):
+            for first, who, node, beam in audited_search(made, exact, normal(rows_of(queries)), threshold, own=own, names=got["cid"]):
                 other = own[first + who] != got["cid"][node]
                 who, node = who[other], node[other]
                 count = np.bincount(who, got["copies"][node]).astype(np.int64)
@@ -339,8 +372,9 @@ def search_shards(classes: DataFrame, graphs: DataFrame, shards: int, blocks: in
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
     classes = vector_classes(vectors)
-    n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * dim)))
+    shards, blocks = max(SHARDS, -(-n // rows)), max(1, -(-n // rows))
     found = search_shards(classes, build_shards(classes, shards), shards, blocks, threshold)
     counts = found.filter("cid is not null").groupBy(F.col("cid").alias("of")).agg(F.sum("n").alias("n"))
     parts = settle(connected_components(found.filter("a is not null").select("a", "b")), "vector-components")

@@ -1,5 +1,7 @@
 """Vector links and components against brute force; recall of the graphs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -63,7 +65,8 @@ def test_recall_of_one_graph():
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((40, 32))
     rows = vectors.normal(np.concatenate([rng.standard_normal((1500, 32)), *(c + 0.15 * rng.standard_normal((k, 32)) for c, k in zip(centers, [400] + [2] * 39))]))
-    graph = vectors.Graph.load(vectors.Graph.build(rows.astype(np.float32)).dump())
+    graph, exact, more = vectors.Graph.load(vectors.Graph.build(rows.astype(np.float32)).dump(rows, cid=np.arange(len(rows))))
+    assert np.allclose(exact, rows) and (more["cid"] == np.arange(len(rows))).all()
     true = rows @ rows.T >= 0.9
     who, node = graph.search(rows.astype(np.float32), 32, 0.9)
     assert true[who, node].mean() > 0.999 and len(who) >= 0.99 * true.sum()
@@ -94,6 +97,25 @@ def test_a_large_group_does_not_hide_lost_pairs():
     assert got == (rows @ rows.T >= 0.9).sum()
 
 
+def test_a_dense_group_is_searched_in_little_memory(monkeypatch):
+    """All links of a group of which every member hits every other, however few hits may be held."""
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(24)
+    rows = vectors.normal(np.concatenate([center + 0.05 * rng.standard_normal((2500, 24)), rng.standard_normal((300, 24))]))
+    graph, true = vectors.Graph.build(rows.astype(np.float32)), rows @ rows.T >= 0.9
+    for hits, front in ((vectors.HITS, vectors.FRONT), (20_000, 500), (1, 100)):
+        monkeypatch.setattr(vectors, "HITS", hits)
+        monkeypatch.setattr(vectors, "FRONT", front)
+        asked = np.arange(0, 2800, 7) if hits > 1 else np.arange(0, 2800, 100)
+        tracemalloc.start()
+        got = np.zeros((len(asked), 2800), bool)
+        for first, who, node, _ in vectors.audited_search(graph, rows, rows[asked], 0.9):
+            got[first + who, node] = True
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got == true[asked]).all() and peak < 300_000_000
+
+
 @pytest.mark.parametrize("scale", [1e-35, 1.0, 1e35])
 def test_scale_does_not_matter(scale):
     assert np.allclose(vectors.normal(np.array([[3.0, 4.0]]) * scale), [[0.6, 0.8]])
