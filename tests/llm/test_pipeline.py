@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from silverloom.llm import mixing, quality_rules, secrets, simhash
+from silverloom.llm import mixing, quality_rules, secrets
 from silverloom.llm.common import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,11 +42,13 @@ def test_rules_keep_what_they_say(stages, small_labels):
 
 
 def test_one_document_of_each_group(stages):
+    """Five words, Jaccard of 0.8 or more, by comparing all sets."""
     before, after = stages["simhash_near_dedup"]
-    prints = sorted((r.doc_id, simhash.fingerprint((r.text or "").encode())) for r in before.collect())
+    texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in before.collect()]
+    sets = sorted((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, w in texts)
     group = {}
-    for i, (doc, x) in enumerate(prints):
-        near = {group[d] for d, y in prints[:i] if (x ^ y).bit_count() <= 4}
+    for i, (doc, x) in enumerate(sets):
+        near = {group[d] for d, y in sets[:i] if 5 * len(x & y) >= 4 * len(x | y)}
         group[doc] = min(near, default=doc)
         for d in group:
             if group[d] in near:
