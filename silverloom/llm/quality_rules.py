@@ -1,11 +1,16 @@
 """Quality rules whose cutoffs are certified on labelled documents (operator 6).
 
 Each rule rejects a document whose ratio (symbols a word, words in repeated windows, ...) exceeds a
-cutoff. A cutoff may be used in a stratum (a language) only if the exact binomial (Clopper-Pearson)
-upper bound of the share of good documents it rejects there stays within ``max_false_rejection``,
-at a confidence that a Bonferroni correction shares out over every stratum, rule and cutoff tried.
-Of the certified cutoffs the one that rejects most is taken; a rule without any stays off.
-Cutoffs come from a fixed grid, so all labelled documents are holdouts.
+cutoff. In a stratum (a language) sets of cutoffs are tried one after the other, each a notch of one
+rule stricter than the one before, in an order that the bad documents alone tell: by how many more
+of them a notch rejects. A set is certified if the exact binomial (Clopper-Pearson) upper bound of the
+share of good documents that it rejects, whichever rule does, stays within ``max_false_rejection``;
+the first set that isn't ends the sequence, and the last certified one holds. As the order doesn't
+depend on the good documents and stops at the first failure, no correction is due within a stratum
+(fixed-sequence testing); the confidence is shared out over the strata (Bonferroni, weighted by 1 / good
+documents, so that small strata needn't go without). So with probability 1 - ``delta`` the joint verdict
+of the rules keeps its bound in all strata at once. Cutoffs come from a fixed grid, so all labelled
+documents are holdouts, and a stratum with too few stays with the base rule.
 
 Defined results: a null text is an empty one; a null language is a stratum of its own; an empty
 table gives an empty result; without labels no rule is certified and only the base verdict holds;
@@ -16,8 +21,8 @@ columns other than doc_id, text, lang (and doc_id, quality of the labels) are ig
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -103,10 +108,15 @@ def rule_ratio(rule: str) -> Column:
 
 
 def log_tail(k: int, n: int, p: float) -> float:
-    """log P(X <= k) for X binomial(n, p)."""
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+    """log P(X <= k) for X binomial(n, p), k < n * p: from the largest term down, until none counts."""
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total = term = 1.0
+    for i in range(k, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return first + math.log(total)
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -123,40 +133,75 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def certified(n_good: int, rejected: dict[float, int], delta: float, most: float) -> float | None:
-    """The lowest cutoff whose bound holds; rejected has the good documents that each cutoff rejects."""
-    ok = [c for c, k in rejected.items() if n_good and k <= most * n_good and upper_bound(k, n_good, delta) <= most]
-    return min(ok, default=None)
+def notch(rule: str) -> Column:
+    """How many of the rule's cutoffs a document's ratio exceeds."""
+    ratio = rule_ratio(rule)
+    return sum(((ratio > c).cast("int") for c in CUTOFFS[rule]), F.lit(0))
+
+
+def order_of_notches(bad: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Sets of notches, each stricter than the one before: a rule rejects at its notch (from 1) and above;
+    beyond its cutoffs it is off. bad: rows of notches, and how many documents have them. Each
+    step goes to the notch of one rule that rejects most more bad documents a cutoff passed."""
+    at = np.array([len(CUTOFFS[r]) + 1 for r in RATIOS])
+    left, path = np.ones(len(bad), bool), []
+    while True:
+        best = (0.0, 0, 0, 0)
+        for r in range(len(at)):
+            for to in range(at[r] - 1, 0, -1):
+                gain = float(counts[left & (bad[:, r] >= to)].sum())
+                best = max(best, (gain / (at[r] - to), gain, -r, to))
+        if not best[1]:
+            return path
+        at = at.copy()
+        at[-best[2]] = best[3]
+        path.append(at)
+        left &= ~(bad >= at).any(1)
+
+
+def certified(good: np.ndarray, counts: np.ndarray, path: list[np.ndarray], delta: float, most: float) -> np.ndarray | None:
+    """The last of the sets, tried in their order, before the first whose bound fails."""
+    n, held = int(counts.sum()), None
+    for at in path:
+        k = int(counts[(good >= at).any(1)].sum())
+        if not n or k > most * n or upper_bound(k, n, delta) > most:
+            break
+        held = at
+    return held
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """stratum, n_good, and for each rule its cutoff (null: off). A row for each stratum with labels."""
+    """stratum, n_good, and for each rule its cutoff (null: off). A row for each stratum with labels.
+    Documents are counted by their notches: a stratum's counts are bounded by the grid, not by the table."""
     marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("mark"))
-    good = stats.join(marks, F.col("doc_id") == F.col("label_id")).filter("mark = 1")
-    counts = {f"{r}|{c}": F.count_if(rule_ratio(r) > c) for r in RATIOS for c in CUTOFFS[r]}
-    by = settle(good.groupBy("stratum").agg(F.count("*").alias("n_good"), *(v.alias(k) for k, v in counts.items())), "rule-counts")
-    share = delta / (len(counts) * max(1, by.count()))
+    told = stats.join(marks, F.col("doc_id") == F.col("label_id")).filter(F.col("mark").isin(0, 1))
+    by = settle(told.groupBy("stratum", "mark", *(notch(r).alias(f"n_{r}") for r in RATIOS)).agg(F.count("*").alias("n")), "rule-notches")
+    sizes = by.filter("mark = 1").groupBy("stratum").agg(F.sum("n").alias("n_good"))
+    shares = sizes.agg(F.sum(1 / F.col("n_good"))).first()[0] or 1.0
+    names = [f"n_{r}" for r in RATIOS]
 
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[["stratum", "n_good"]].copy()
-            for r in RATIOS:
-                out[f"cut_{r}"] = [
-                    certified(int(row["n_good"]), {c: int(row[f"{r}|{c}"]) for c in CUTOFFS[r]}, share, max_false_rejection)
-                    for row in frame.to_dict("records")
-                ]
-                out[f"cut_{r}"] = out[f"cut_{r}"].astype(float)
-            yield out
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        good, bad = frame[frame["mark"] == 1], frame[frame["mark"] == 0]
+        n = int(good["n"].sum())
+        path = order_of_notches(bad[names].to_numpy(), bad["n"].to_numpy())
+        held = certified(good[names].to_numpy(), good["n"].to_numpy(), path, delta / (max(n, 1) * shares), max_false_rejection)
+        out = {"stratum": [frame["stratum"].iloc[0]], "n_good": [n]}
+        for i, r in enumerate(RATIOS):
+            out[f"cut_{r}"] = [float(CUTOFFS[r][held[i] - 1]) if held is not None and held[i] <= len(CUTOFFS[r]) else None]
+        return pd.DataFrame(out).astype({f"cut_{r}": float for r in RATIOS})
 
-    return by.mapInPandas(choose, "stratum string, n_good long, " + ", ".join(f"cut_{r} double" for r in RATIOS))
+    return by.groupBy("stratum").applyInPandas(choose, "stratum string, n_good long, " + ", ".join(f"cut_{r} double" for r in RATIOS))
 
 
 def with_verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds base_failed, broken_rules and kept; stats has a stratum."""
-    failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
     broken = F.array_compact(F.array(*(F.when(rule_ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RATIOS)))
     cuts = cuts.drop("n_good").withColumnRenamed("stratum", "cut_stratum")
-    out = stats.join(cuts, F.col("stratum") == F.col("cut_stratum"), "left").withColumn("base_failed", failed)
+    out = stats.join(cuts, F.col("stratum") == F.col("cut_stratum"), "left").withColumn("base_failed", base_failed())
     return out.withColumn("broken_rules", F.array_join(broken, ",")).withColumn("kept", ~F.col("base_failed") & (F.col("broken_rules") == ""))
 
 

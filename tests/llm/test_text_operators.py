@@ -1,12 +1,14 @@
 """Quality rules, license scan, secret scan, quality classifier against plain brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from silverloom.llm import licenses, quality_classifier, quality_rules, secrets
@@ -49,6 +51,52 @@ def test_exact_bound():
         assert tail == pytest.approx(0.01, rel=1e-6)
 
 
+def test_bound_at_large_counts():
+    """Against plain sums of all terms, and where a few thousand terms would not do."""
+    tail = lambda k, n, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+    for k, n in ((0, 10), (900, 100_000), (49_000, 5_000_000)):
+        p = quality_rules.upper_bound(k, n, 0.01)
+        assert tail(k, n, p) == pytest.approx(0.01, rel=1e-3)
+    k, n = 10**7, 10**9
+    spread = (k * (1 - k / n)) ** 0.5 / n
+    assert quality_rules.upper_bound(k, n, 0.01) - k / n == pytest.approx(2.326 * spread, rel=0.01)
+
+
+def test_fixed_sequence_keeps_the_joint_bound():
+    """Simulated strata: the share of good documents that the certified set rejects, all rules together,
+    is above the bound no more often than delta; every set is stricter than the one before."""
+    rng, wrong = np.random.default_rng(9), 0
+    sizes = [len(quality_rules.CUTOFFS[r]) for r in quality_rules.RATIOS]
+    one = np.ones(600, int)
+    for _ in range(300):
+        chance = rng.uniform(0, 0.004, len(sizes))  # of a good document to exceed any cutoff of a rule
+        draw = lambda n: np.stack([np.where(rng.random(n) < c, rng.integers(1, m + 1, n), 0) for c, m in zip(chance, sizes)], 1)
+        bad = np.stack([rng.integers(0, m + 1, 40) for m in sizes], 1)
+        path = quality_rules.order_of_notches(bad, np.ones(40, int))
+        assert all((b <= a).all() and (b < a).sum() == 1 for a, b in zip(path, path[1:]))
+        held = quality_rules.certified(draw(600), one, path, 0.05, 0.01)
+        wrong += held is not None and (draw(60_000) >= held).any(1).mean() > 0.01
+    assert wrong <= 0.05 * 300 + 8
+
+
+def test_verdict_by_brute_force(spark):
+    """kept and broken_rules at production parameters, from ratios and cutoffs by hand."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    stats = quality_rules.document_stats(quality_rules.stratified(docs), ["doc_id", "stratum"])
+    cuts = {r.stratum: r for r in quality_rules.fit_cutoffs(stats, marks, 0.05).collect()}
+    told = {r.doc_id: r.mark for r in marks.groupBy("doc_id").agg({"quality": "max"}).withColumnRenamed("max(quality)", "mark").collect()}
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs, marks, 0.05).collect()}
+    lost = Counter()
+    for r in stats.collect():
+        ratios = {"symbols": (100 * r.n_symbols, r.n_words), "dup_lines": (100 * r.n_dup_lines, r.n_lines), "repeats": (100 * r.n_repeat_words, r.n_words), "long_words": (r.word_chars, r.n_words), "shouting": (100 * r.n_upper, r.word_chars), "bangs": (100 * r.n_bangs, r.n_words)}
+        cut = cuts.get(r.stratum)
+        broken = [k for k, (a, b) in ratios.items() if cut and cut[f"cut_{k}"] is not None and b and a / b > cut[f"cut_{k}"]]
+        assert got[r.doc_id].broken_rules == ",".join(broken) and got[r.doc_id].kept == (not broken and not got[r.doc_id].base_failed)
+        if r.doc_id in told and not got[r.doc_id].base_failed:
+            lost[told[r.doc_id], bool(broken)] += 1
+    assert lost[0, True] > 0.5 * lost[0, False] and lost[1, True] <= 0.05 * lost[1, False]
+
+
 def test_cutoffs_hold_their_risk(spark):
     """500 good documents with few symbols, one of them with many; 50 bad ones full of symbols."""
     good = [(i, "plain words only here " * 20 + f"w{i} x{i} y{i}", "en") for i in range(2000)]
