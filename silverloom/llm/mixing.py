@@ -4,19 +4,23 @@ A multinomial logistic model, fitted on a labelled table, gives each document a
 domains. With n_d tokens in document d, rates r_d >= 0 are sought so that the expected tokens of each
 domain, sum of r_d * n_d * p_dk, equal target weight k times the token budget. The least-squares
 residual (whitened by the Gram matrix sum of n_d p_d p_d') is descended from r = 1 by projected
-gradients in the metric of the token counts: r <- r - p . step, held in [0, MAX_RATE]. Rates then depend on a
+gradients in the metric of the token counts: r <- r - p . step, held at 0 or more. Rates then depend on a
 document through p alone and on the history of steps, so each iteration is one pass over (n, p)
 that returns K + K * K sums; nothing else reaches the driver, and nothing need be stored in between.
 
 Decisions: a document is taken floor(rate) times, and once more if its hash falls below the rest.
 
+The targets are met as they are given, however often that takes a document. With ``repeat`` a target
+that would take a domain's documents more often is lowered (see ``attainable``), and no rate is above
+twice ``repeat``. ``mix`` gives for each domain the goal that was sought and the share that the rates
+meet, so that a lowered target or an end of the ``ITERATIONS`` before the tolerance shows.
+
 The model's fit uses at most ``sample`` labelled documents of each domain (in hash order of their
 ids) and the ``VOCABULARY`` words that tell domains apart best; posteriors, totals and rates use every document.
 
 Defined results: null and empty texts have no tokens and the posterior of the intercepts; a null
-language or label is ignored; without labels the posterior is even; a target that would take a
-domain's documents more than ``MAX_REPEAT`` times can't be met: such domains keep their proportion to
-the domains that grow, so that what little there is of one never bends the rates of all others; repeated rows each get their row and the same rate;
+language or label is ignored; without labels the posterior is even and the rates meet no target; a
+domain without documents can't be met; repeated rows each get their row and the same rate;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,9 +34,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_batches, schema_with, settle, text_bytes
 
-SAMPLE, VOCABULARY, ITERATIONS, TOLERANCE = 3000, 5000, 25, 1e-4
-#: A target is lowered if it needs documents more often than this; no rate is above the second.
-MAX_REPEAT, MAX_RATE, DAMPING = 2.0, 4.0, 0.01
+SAMPLE, VOCABULARY, ITERATIONS, TOLERANCE, DAMPING = 3000, 5000, 60, 1e-4, 0.01
+#: So many steps without progress are the end: nothing nearer can be met.
+STALLED = 4
+#: In the pipeline a target is lowered if it needs documents more often than this.
+STAGE_REPEAT = 2.0
 #: Production targets: share of tokens by domain of the labels table.
 TARGETS = {"clean": 0.93, "toxic": 0.04, "poor": 0.03}
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,15 +152,25 @@ def memberships(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFra
     return map_batches(kept, schema_with(kept, keep, "n_tokens long, p array<double>"), each)
 
 
-def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
+@dataclass
+class Fit:
+    """The steps from r = 1, the greatest rate allowed, the shares sought, and the shares met."""
+
+    steps: list[np.ndarray]
+    most: float
+    goal: np.ndarray
+    met: np.ndarray
+
+
+def rates_of(p: np.ndarray, history: list[np.ndarray], most: float = np.inf) -> np.ndarray:
     """The rates after the steps so far, from r = 1; p has a row for each document."""
     rate = np.ones(len(p))
     for step in history:
-        rate = np.clip(rate - p @ step, 0.0, MAX_RATE)
+        rate = np.clip(rate - p @ step, 0.0, most)
     return rate
 
 
-def attainable(targets: np.ndarray, shares: np.ndarray, repeat: float = MAX_REPEAT) -> np.ndarray:
+def attainable(targets: np.ndarray, shares: np.ndarray, repeat: float) -> np.ndarray:
     """The targets, but for domains of which the corpus has so little that its documents would have
     to be taken more than ``repeat`` times: those grow no more than the domain that has most room."""
     goal, short = targets.copy(), np.zeros(len(targets), bool)
@@ -171,36 +187,42 @@ def attainable(targets: np.ndarray, shares: np.ndarray, repeat: float = MAX_REPE
         goal[pool] = left * shares[pool] / max(shares[pool].sum(), 1e-12)
 
 
-def fit_steps(members: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """The history of steps after which expected domain totals match the targets (shares)."""
-    k, history = len(targets), []
-    narrow, goal = members.select("n_tokens", "p"), None
+def fit_steps(members: DataFrame, targets: np.ndarray, repeat: float | None = None, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> Fit:
+    """The steps after which expected domain totals match the targets (shares)."""
+    k, most = len(targets), np.inf if repeat is None else 2 * repeat
+    narrow, fit = members.select("n_tokens", "p"), Fit([], most, targets, np.zeros(k))
 
     def sums(history: list[np.ndarray]) -> np.ndarray:
         def each(batch: pa.RecordBatch) -> dict:
             n = batch.column("n_tokens").to_numpy().astype(float)
             p = batch.column("p").flatten().to_numpy().reshape(-1, k)
-            rate = rates_of(p, history)
-            live = n * ((rate > 0) & (rate < MAX_RATE))
+            rate = rates_of(p, history, most)
+            live = n * ((rate > 0) & (rate < most))
             return {"v": [np.concatenate([(n * rate) @ p, ((p * live[:, None]).T @ p).ravel(), [n.sum()]])]}
 
         parts = map_batches(narrow, "v array<double>", each)
         row = parts.agg(*(F.sum(F.col("v")[i]) for i in range(k + k * k + 1))).first()
         return np.array([x or 0.0 for x in row])
 
+    least, stalled = np.inf, 0
     for _ in range(iterations):
-        got = sums(history)
+        got = sums(fit.steps)
         total = got[-1]
         if not total:
             break
-        if goal is None:
-            goal = attainable(targets, got[:k] / total)
-        miss = got[:k] - goal * total
-        if np.abs(miss).max() <= tolerance * total:
+        if not fit.steps and repeat is not None:
+            fit.goal = attainable(targets, got[:k] / total, repeat)
+        fit.met = got[:k] / total
+        miss = got[:k] - fit.goal * total
+        far = float(np.abs(miss).max()) / total
+        stalled = 0 if far < 0.99 * least else stalled + 1
+        least = min(least, far)
+        if far <= tolerance or stalled >= STALLED:
             break
         gram = got[k : k + k * k].reshape(k, k)
-        history.append(np.linalg.solve(gram + np.diag(DAMPING * gram.sum(1) + 1e-9 * total), miss))
-    return history
+        step = np.linalg.solve(gram + np.diag(DAMPING * gram.sum(1) + 1e-9 * total), miss)
+        fit.steps.append(step)
+    return fit
 
 
 def goals(model: DomainModel, targets: dict[str, float]) -> np.ndarray:
@@ -208,12 +230,14 @@ def goals(model: DomainModel, targets: dict[str, float]) -> np.ndarray:
     return goal / goal.sum()
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_tokens, a posterior column p_<domain> for each, rate, and copies to take."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, repeat: float | None = None) -> DataFrame:
+    """doc_id, n_tokens, a posterior column p_<domain> for each, rate, copies to take, and, the same in
+    every row, goal_<domain> and met_<domain>: the share of tokens sought, and that the rates meet."""
     model = train_domains(docs, labels, targets, sample)
     members = settle(memberships(docs, model, ["doc_id"]), "memberships")
-    history = fit_steps(members, goals(model, targets))
-    return with_copies(members, history, ["doc_id"]).select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies")
+    fit = fit_steps(members, goals(model, targets), repeat)
+    told = [F.lit(float(x)).alias(f"{c}_{d}") for c, xs in (("goal", fit.goal), ("met", fit.met)) for d, x in zip(model.domains, xs)]
+    return with_copies(members, fit, ["doc_id"]).select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies", *told)
 
 
 def chance() -> Column:
@@ -221,24 +245,24 @@ def chance() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def with_copies(members: DataFrame, history: list[np.ndarray], keep: list[str]) -> DataFrame:
+def with_copies(members: DataFrame, fit: Fit, keep: list[str]) -> DataFrame:
     def each(batch: pa.RecordBatch) -> dict:
         p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1)
-        return {c: batch.column(c) for c in [*keep, "n_tokens", "p"]} | {"rate": rates_of(p, history)}
+        return {c: batch.column(c) for c in [*keep, "n_tokens", "p"]} | {"rate": rates_of(p, fit.steps, fit.most)}
 
     rated = map_batches(members, schema_with(members, keep, "n_tokens long, p array<double>, rate double"), each)
     return rated.withColumn("copies", (F.floor("rate") + (chance() < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
-def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
+def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE, repeat: float | None = None) -> DataFrame:
     """docs itself, each row as often as its rate says; texts pass through one worker, once."""
     model = train_domains(docs, labels, targets, sample)
-    history = fit_steps(settle(memberships(docs, model, []), "memberships"), goals(model, targets))
+    fit = fit_steps(settle(memberships(docs, model, []), "memberships"), goals(model, targets), repeat)
     names = docs.columns
 
     def each(batch: pa.RecordBatch) -> dict:
         texts = text_bytes(batch.column("text"))
-        rate = rates_of(np.array([model.posterior(x, text_extra(x, x.split())) for x in texts]), history)
+        rate = rates_of(np.array([model.posterior(x, text_extra(x, x.split())) for x in texts]), fit.steps, fit.most)
         copies = np.floor(rate) + (batch.column(len(names)).to_numpy() < rate - np.floor(rate))
         rows = pa.array(np.repeat(np.arange(len(texts)), copies.astype(np.int64)))
         return {c: batch.column(i).take(rows) for i, c in enumerate(names)}

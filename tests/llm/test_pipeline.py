@@ -69,7 +69,7 @@ def test_no_secret_is_left(stages):
 
 def test_mixing_takes_whole_rows(stages, small_labels):
     before, after = stages["source_mixing"]
-    copies = {r.doc_id: r.copies for r in mixing.mix(before, small_labels.withColumn("domain", mixing.label_domain())).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(before, small_labels.withColumn("domain", mixing.label_domain()), repeat=mixing.STAGE_REPEAT).collect()}
     assert rows(after) == Counter({k: n * copies[k[0]] for k, n in rows(before).items() if copies[k[0]]})
     assert sum(rows(after).values()) >= 0.8 * sum(rows(before).values())
 

@@ -178,6 +178,29 @@ def test_mixing_meets_its_targets(spark, small):
     assert all(abs(r.p_clean + r.p_toxic + r.p_poor - 1) < 1e-9 for r in rows)
 
 
+def test_rates_against_a_plain_solver(spark):
+    """The rates nearest to one, by tokens, that meet the targets: in closed form where none is zero,
+    else by a plain ascent on the dual."""
+    rng = np.random.default_rng(7)
+    p, n = rng.dirichlet([2, 1, 1], 400), rng.integers(1, 500, 400)
+    frame = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    for goal, loose in ((np.array([0.45, 0.3, 0.25]), False), (np.array([0.9, 0.06, 0.04]), True)):
+        fit = mixing.fit_steps(frame, goal)
+        rate = mixing.rates_of(p, fit.steps)
+        assert (n * rate) @ p / n.sum() == pytest.approx(goal, abs=2e-4) and fit.met == pytest.approx(goal, abs=2e-4)
+        dual = np.zeros(3)
+        for _ in range(4000):
+            r = np.maximum(0, 1 - p @ dual)
+            live = n * (r > 0)
+            dual += np.linalg.solve((p * live[:, None]).T @ p + 1e-6 * n.sum() * np.eye(3), (n * r) @ p - goal * n.sum()) * 0.2
+        best = np.maximum(0, 1 - p @ dual)
+        assert (best.min() == 0) == loose
+        if loose:  # held at zero on the way: near the best, not the same
+            assert (n * (rate - 1) ** 2).sum() <= 1.2 * (n * (best - 1) ** 2).sum()
+        else:
+            assert rate == pytest.approx(best, abs=5e-3)
+
+
 def test_mixing_learns_domains(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("domain", mixing.label_domain())
@@ -208,13 +231,18 @@ def test_mixing_with_a_domain_that_is_hardly_there(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("domain", mixing.label_domain())
     poor = marks.filter("domain = 'poor'").select("doc_id").orderBy("doc_id").offset(2)
-    rows = mixing.mix(docs.join(poor, "doc_id", "left_anti"), marks).collect()
+    few = docs.join(poor, "doc_id", "left_anti")
+    rows = mixing.mix(few, marks, repeat=2.0).collect()
     assert all(r.rate >= 1 and r.copies >= 1 for r in rows if r.p_clean > 0.95)
     assert sum(r.rate * r.n_tokens * r.p_toxic for r in rows) / sum(r.n_tokens for r in rows) == pytest.approx(0.04, abs=0.01)
+    hard = {"clean": 0.76, "toxic": 0.04, "poor": 0.2}
+    for repeat in (2.0, None):  # a lowered target shows; without a limit it is met as given
+        one = mixing.mix(few, marks, hard, repeat=repeat).first()
+        assert (one.goal_poor < 0.2) == (repeat is not None) and one.met_poor == pytest.approx(one.goal_poor, abs=5e-3)
 
 
 def test_attainable_targets():
-    goal = mixing.attainable(np.array([0.93, 0.03, 0.04]), np.array([0.875, 0.005, 0.12]))
+    goal = mixing.attainable(np.array([0.93, 0.03, 0.04]), np.array([0.875, 0.005, 0.12]), 2.0)
     assert goal.sum() == pytest.approx(1) and goal[2] == 0.04 and goal[0] / 0.875 == pytest.approx(goal[1] / 0.005)
-    assert mixing.attainable(np.array([0.5, 0.5]), np.array([0.7, 0.3])).tolist() == [0.5, 0.5]
-    assert mixing.attainable(np.array([0.5, 0.5]), np.array([1.0, 0.0])).tolist() == [1.0, 0.0]
+    assert mixing.attainable(np.array([0.5, 0.5]), np.array([0.7, 0.3]), 2.0).tolist() == [0.5, 0.5]
+    assert mixing.attainable(np.array([0.5, 0.5]), np.array([1.0, 0.0]), 2.0).tolist() == [1.0, 0.0]
