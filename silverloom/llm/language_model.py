@@ -39,7 +39,7 @@ END = b"\n"  # no word holds white space
 HIDDEN, HEAD = 32, 200_000
 #: Words of the model: so many times the square root of the distinct words, but at least the second;
 #: endings: at most so many, of so many bytes, on as much of the text as their own words have.
-WORDS_A_ROOT, FEWEST_WORDS, ENDINGS, ENDING = 4.0, 1024, 1024, 3
+WORDS_A_ROOT, FEWEST_WORDS, ENDINGS, ENDING = 1.5, 512, 256, 3
 #: Training: rounds, tokens a shard has about, streams, windows that a shard has at least, steps back, rates.
 ROUNDS, SHARD_TOKENS, STREAMS, WINDOWS, STEPS = 3, 2_000_000, 512, 150, 24
 RATES = (0.006, 0.004, 0.002)
@@ -178,11 +178,14 @@ class Recurrent:
         logits += self.p["class_bias"]
         out = logits[np.arange(len(ids)), classes]
         out -= log_sums(logits)
-        for c, rows in by_class(classes, len(self.p["word"])):
+        order, runs = by_class(classes, len(self.p["word"]))
+        h, place, inner = h[order], ids[order] % self.class_size, np.empty(len(ids), out.dtype)
+        for c, rows in runs:
             logits = h[rows] @ self.p["word"][c]
             logits += self.p["word_bias"][c]
-            own = logits[np.arange(len(rows)), ids[rows] - c * self.class_size]
-            out[rows] += own - log_sums(logits)
+            inner[rows] = logits[np.arange(len(logits)), place[rows]]
+            inner[rows] -= log_sums(logits)
+        out[order] += inner
         return out
 
     def gradients(self, ids: np.ndarray, before: np.ndarray, state: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -205,13 +208,18 @@ class Recurrent:
         share[every, classes] -= 1
         g["class"], g["class_bias"] = flat.T @ share, share.sum(0)
         d = share @ p["class"].T
-        for c, rows in by_class(classes, len(p["word"])):
-            inner = softmax(flat[rows] @ p["word"][c] + p["word_bias"][c])
-            at = (np.arange(len(rows)), ys[rows] - c * self.class_size)
+        order, runs = by_class(classes, len(p["word"]))
+        sorted_, place, back = flat[order], ys[order] % self.class_size, np.empty_like(flat)
+        for c, rows in runs:
+            inner = sorted_[rows] @ p["word"][c]
+            inner += p["word_bias"][c]
+            at = (np.arange(len(inner)), place[rows])
+            inner = softmax(inner)
             loss -= np.log(np.maximum(inner[at], 1e-30)).sum()
             inner[at] -= 1
-            g["word"][c], g["word_bias"][c] = flat[rows].T @ inner, inner.sum(0)
-            d[rows] += inner @ p["word"][c].T
+            g["word"][c], g["word_bias"][c] = sorted_[rows].T @ inner, inner.sum(0)
+            np.matmul(inner, p["word"][c].T, out=back[rows])
+        d[order] += back
         d = d.reshape(steps, streams, n)
         down = np.zeros((streams, n), np.float32)
         into = np.empty((steps, streams, 3 * n), np.float32)
@@ -236,12 +244,11 @@ class Recurrent:
         return float(loss), g, states[-1]
 
 
-def by_class(classes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order that brings equal classes together, and where each of them then lies."""
     order = np.argsort(classes.astype(np.int16), kind="stable")  # of 16 bits: sorted by radix
     edges = np.searchsorted(classes[order], np.arange(n + 1))
-    for c in range(n):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
 def train(model: Recurrent, ids: np.ndarray, end: int, rate: float) -> Recurrent:
