@@ -17,9 +17,17 @@ STREET_WORDS = {"street": "st", "road": "rd", "avenue": "ave", "boulevard": "blv
 LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230120022455012623010202"
 
 
+#: White space, as a class of a pattern.
+WHITE = r"\s\x1C-\x1F\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000"
+#: Calling codes of countries other than the North American ones, as a pattern.
+COUNTRIES = r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2346]\d|25[0-8]|29[01789]|35\d|37[0-8]|38[0-35-79]|42[013]|50\d|59\d|67[02-9]|68[0-35-9]|69[0-2]|8[08]0|85[02356]|870|87[08]|88[1-368]|96[0-8]|97[0-79]|99[2-68]"
+#: How an extension is written behind a number.
+EXTENSION = r"(?i)[\s,;]*(?:;ext=|extension|extn?\.?|int\.?|x|#|~)[\s.:]*\d{1,7}#?\s*$"
+
+
 def present(text: Column) -> Column:
-    """The text, or null if it is blank."""
-    return F.when(~text.rlike(r"^\s*$"), text)
+    """The text, or null if it is blank: all white space of Unicode but spaces that don't break."""
+    return F.when(~text.rlike(rf"^[{WHITE}]*$"), text)
 
 
 def trimmed(text: Column) -> Column:
@@ -67,12 +75,15 @@ def normalize_email(text: Column) -> Column:
 
 
 def normalize_phone(text: Column) -> Column:
-    """E.164 by the rules of the North American plan for numbers without a country code or with +1;
-    other country codes need 8 to 15 digits. Anything else is null."""
-    digits = F.regexp_replace(text, r"\D", "")
-    abroad = trimmed(text).startswith("+") & ~digits.startswith("1")
+    """E.164 by the rules of the North American plan for numbers without a country code or with +1; other
+    numbers need the calling code of a country and 8 to 15 digits in all. An extension is left out.
+    Anything else is null."""
+    main = F.regexp_replace(text, EXTENSION, "")
+    digits = F.regexp_replace(main, r"\D", "")
+    abroad = trimmed(main).startswith("+") & ~digits.startswith("1")
     national = F.regexp_extract(digits, r"^1?([2-9]\d{2}[2-9]\d{6})$", 1)
-    return F.when(abroad, F.when(digits.rlike(r"^[2-9]\d{7,14}$"), F.concat(F.lit("+"), digits))).when(national != "", F.concat(F.lit("+1"), national))
+    known = digits.rlike(rf"^(?:{COUNTRIES})\d{{4,}}$") & F.length(digits).between(8, 15)
+    return F.when(abroad, F.when(known, F.concat(F.lit("+"), digits))).when(national != "", F.concat(F.lit("+1"), national))
 
 
 def phone_last7(phone: Column) -> Column:

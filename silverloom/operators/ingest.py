@@ -19,7 +19,7 @@ def revision_id() -> Column:
 
 
 def hashed(records: DataFrame) -> DataFrame:
-    return records.withColumn("source_id", source_id()).withColumn("payload_hash", identity.payload_hash())
+    return records.withColumn("source_id", source_id()).withColumn("payload_hash", identity.payload_hash(records))
 
 
 def current_revisions(revisions: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def affected_goldens(changes: DataFrame, memberships: DataFrame) -> DataFrame:
 def replay(stream: DataFrame, key: list[str], order: list[str], payload: list[str]) -> DataFrame:
     """Many batches at once: the rows whose payload differs from the one before it of the same key,
     numbered from 1. (One window: its sort is by key and order, and keys are many.)"""
-    told = stream.withColumn("payload_hash", F.sha2(F.to_json(F.struct(*sorted(payload))), 256))
+    told = stream.withColumn("payload_hash", identity.payload_hash(stream, payload))
     window = W.partitionBy(*key).orderBy(*order)
     kept = told.withColumn("last", F.lag("payload_hash").over(window)).filter(~F.col("payload_hash").eqNullSafe(F.col("last"))).drop("last")
     return kept.withColumn("revision_number", F.row_number().over(window))

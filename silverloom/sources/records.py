@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-RECORD = T.StructType([T.StructField(n, T.TimestampType() if n == "updatedAt" else T.StringType()) for n in ("sourceRecordId", "fullName", "email", "phone", "address", "postalCode", "updatedAt")])
+from silverloom.functions import text
+
+RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("sourceRecordId", "fullName", "email", "phone", "address", "postalCode", "updatedAt")])
 BATCH = T.StructType([T.StructField("records", T.ArrayType(RECORD))])
 LABEL = "group_id string, source_system string, source_record_id string, scenario string"
 #: The longest text of each field, and the most records of a batch.
@@ -17,9 +19,19 @@ class InvalidBatch(ValueError):
     """A batch that is refused as a whole; its text begins with the error's code."""
 
 
+#: An instant as the records write it.
+INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
+#: Holds an updatedAt that is no instant, so that its row is refused.
+UNREAD = "unread_updated_at"
+
+
 def flat(batches: DataFrame) -> DataFrame:
-    """A row for each record of batches {records: [...]}."""
-    return batches.select(F.inline("records")).select(*(F.col(a).alias(b) for a, b in NAMES.items()))
+    """A row for each record of batches {records: [...]}; a null or missing field is null, an updatedAt
+    that is no instant is kept beside (see UNREAD)."""
+    rows = batches.select(F.inline("records")).select(*(F.col(a).alias(b) for a, b in NAMES.items()))
+    said = F.col("updated_at")
+    read = F.when(said.rlike(INSTANT), F.expr("try_cast(updated_at as timestamp)"))
+    return rows.withColumn(UNREAD, F.when(said.isNotNull() & read.isNull(), said)).withColumn("updated_at", read)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -45,18 +57,18 @@ def check_source_system(name: str) -> str:
     return name
 
 
-def row_error(limits: dict[str, int] = LIMITS) -> Column:
+def row_error(records: DataFrame, limits: dict[str, int] = LIMITS) -> Column:
     """The first field that breaks its limits, or null."""
-    out = F.when(F.col("source_record_id").isNull() | F.col("source_record_id").rlike(r"^\s*$"), F.lit("source_record_id"))
+    out = F.when(text.present(F.col("source_record_id")).isNull(), F.lit("source_record_id"))
     for name, most in limits.items():
         out = out.when(F.length(name) > most, F.lit(name))
-    return out
+    return out.when(F.col(UNREAD).isNotNull(), F.lit("updated_at")) if UNREAD in records.columns else out
 
 
 def validated(records: DataFrame, limits: dict[str, int] = LIMITS) -> tuple[DataFrame, DataFrame]:
     """Rows that keep the limits, and the others with the field that doesn't."""
-    judged = records.withColumn("error", row_error(limits))
-    return judged.filter("error is null").drop("error"), judged.filter("error is not null")
+    judged = records.withColumn("error", row_error(records, limits))
+    return judged.filter("error is null").drop("error", UNREAD), judged.filter("error is not null")
 
 
 def repeated_keys(records: DataFrame) -> DataFrame:
@@ -65,12 +77,12 @@ def repeated_keys(records: DataFrame) -> DataFrame:
 
 def check_batch(records: DataFrame, most: int | None = MOST_RECORDS) -> DataFrame:
     """The batch, unless it has no or too many rows, a bad row or a repeated key."""
-    counts = records.agg(F.count("*").alias("n"), F.count(row_error()).alias("bad")).first()
+    counts = records.agg(F.count("*").alias("n"), F.count(row_error(records)).alias("bad")).first()
     if not counts["n"] or most and counts["n"] > most or counts["bad"]:
         raise InvalidBatch("VALIDATION_ERROR")
     if not repeated_keys(records).isEmpty():
         raise InvalidBatch("DUPLICATE_BATCH_ID")
-    return records
+    return records.drop(UNREAD)
 
 
 #: The words that made records are put together from.

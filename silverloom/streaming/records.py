@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from silverloom.functions import identity
 from silverloom.plans import engine
 from silverloom.sources import records
 
@@ -41,7 +42,7 @@ CHANGES = "source_key string, payload_hash string, revision_number int"
 def changed_only(stream: DataFrame, key: str, payload: list[str], order: str) -> DataFrame:
     """Rows whose payload differs from the last of their key, numbered; the state of a key is the last
     hash and number."""
-    hashed = stream.select(F.col(key).cast("string").alias("source_key"), F.sha2(F.to_json(F.struct(*sorted(payload))), 256).alias("payload_hash"), F.col(order).alias("at"))
+    hashed = stream.select(F.col(key).cast("string").alias("source_key"), identity.payload_hash(stream, payload).alias("payload_hash"), F.col(order).alias("at"))
 
     def step(name: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, number = state.get if state.exists else (None, 0)
