@@ -29,6 +29,12 @@ CASES = [
     (text.normalize_phone, "+1 106 555 0100", None),
     (text.normalize_phone, "+44 20 7946 0958", "+442079460958"),
     (text.normalize_phone, "555", None),
+    (text.normalize_phone, "(206) 555-0100 x12", "+12065550100"),
+    (text.normalize_phone, "206-555-0100 ext. 7", "+12065550100"),
+    (text.normalize_phone, "+44 20 7946 0958 #3", "+442079460958"),
+    (text.normalize_phone, "+999 1234567", None),
+    (text.normalize_phone, "+210 12345678", None),
+    (text.normalize_name, "\u2003\u3000", None),
     (text.phone_last7, "+12065550100", "5550100"),
     (text.phone_last7, "123", None),
     (text.normalize_postal, " K1A 0B1 ", "k1a0b1"),
@@ -83,10 +89,55 @@ def test_cursor():
 
 def test_payload_hash_ignores_nulls_and_sees_updates(spark):
     rows = [("a", None, "n", None, None, None), ("a", None, "n", None, None, None), ("a", "e", "n", None, None, None)]
-    got = [r.h for r in spark.createDataFrame(rows, "address string, email string, full_name string, phone string, postal_code string, updated_at timestamp").select(identity.payload_hash().alias("h")).collect()]
+    got = [r.h for r in spark.createDataFrame(rows, "address string, email string, full_name string, phone string, postal_code string, updated_at timestamp").transform(lambda f: f.select(identity.payload_hash(f).alias("h"))).collect()]
     assert got[0] == got[1] != got[2]
 
 
+def test_payload_hash_counts_microseconds_in_any_zone(spark):
+    made = spark.sql("select * from values (timestamp '2024-03-10 02:30:00.123456Z'), (timestamp '2024-03-10 02:30:00.123999Z'), (null) t(at)")
+    found, zone = [], spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            found.append([r.h for r in made.select(identity.payload_hash(made, ["at"]).alias("h")).collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == 3
+
+
+def test_folder_of_a_cluster_must_be_named(spark):
+    from silverloom.sources import snapshots
+
+    assert snapshots.folder_for(None, "local") == snapshots.folder_for(None, "local[8]") == snapshots.LOCAL_FOLDER
+    assert snapshots.shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or snapshots.LOCAL_FOLDER)
+    assert snapshots.folder_for("hdfs://host/shared/", "spark://host:7077") == "hdfs://host/shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(snapshots.NoSharedFolder):
+            snapshots.folder_for(None, master)
+
+
+def test_scratch_is_removed(spark, tmp_path, monkeypatch):
+    import os
+
+    from silverloom.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "shared_folder", lambda _: str(tmp_path))
+    with snapshots.scratch(spark):
+        assert snapshots.settle(spark.range(5), "some").count() == 5 and os.listdir(tmp_path / "silverloom")
+    kept = snapshots.settle(spark.range(3), "kept")
+    assert [x.split("-")[0] for x in os.listdir(tmp_path / "silverloom")] == ["kept"] and kept.count() == 3
+
+
+def test_a_bad_instant_is_refused(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"records": [{"sourceRecordId": str(i), "updatedAt": x} for i, x in enumerate(["2024-01-01T00:00:00Z", "yesterday", None, "2024-02-30T00:00:00Z", "2024-01-01T01:00:00.5+01:00"])]}))
+    rows = records.read_json(spark, str(tmp_path / "a.json"))
+    good, bad = records.validated(rows)
+    assert {r.source_record_id: r.error for r in bad.collect()} == {"1": "updated_at", "3": "updated_at"}
+    assert {r.source_record_id for r in good.collect()} == {"0", "2", "4"} and records.UNREAD not in good.columns
+    with pytest.raises(records.InvalidBatch):
+        records.check_batch(rows)
+
+
 def test_rules_from_json():
     rules = RuleSet.parse(2, json.dumps({"weights": {"email": 0.5}, "thresholds": {"autoMatch": 0.8}, "maxBlockSize": 7, "sourcePriority": {"email": ["X"]}}))
     assert rules.weights == {"address": 0, "email": 0.5, "name": 0, "phone": 0} and rules.auto_match == 0.8 and rules.review == 0
