@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from silverloom.functions import identity
 from silverloom.operators import blocking, clustering, golden, ingest, metrics, review, scoring
 from silverloom.operators.components import connected_components
 from silverloom.operators.rules import RuleSet
@@ -195,10 +197,27 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.batch_summary(ingest.detect_changes(held, every, F.lit(NOW).cast("timestamp")))
 
 
-@query("select c_custkey as source_id from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+def state_of(spark: SparkSession, **tables: DataFrame) -> engine.State:
+    """A state with these tables, what columns they lack null; the others are empty."""
+    empty = engine.State.empty(spark)
+    return replace(empty, tables=empty.tables | {k: engine.conform_new(v, k) for k, v in tables.items()})
+
+
+@query("select cast(c_custkey as varchar) as source_id, 'r' || c_custkey as revision_id, 'CLAIMED' as state from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def claim_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("source_id"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id")).join(taken, "source_id", "left_anti")
+    """What a run's first stage claims, beside an earlier run's claims (customers with a pending order)."""
+    revisions = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_id"), F.concat(F.lit("r"), "c_custkey").alias("revision_id"), F.lit(1).alias("revision_number"))
+    claims = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("r"), "o_custkey").alias("revision_id"), F.lit(1).alias("ruleset_version"), F.lit("run-0").alias("run_id")).distinct()
+    after = engine.stage_claim(state_of(spark, revisions=revisions, claims=claims), "run-1", NOW, RuleSet())
+    return after["claims"].filter("run_id = 'run-1'").select("source_id", "revision_id", "state")
+
+
+@query("select distinct 'g' || (c_custkey % 97) as golden_id from customer where c_custkey % 5 = 0 and c_custkey % 3 <> 0")
+def affected_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    changes = rows.filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("source_id"), F.lit("CREATED").alias("status"))
+    held = rows.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("source_id"), F.expr("'g' || (c_custkey % 97)").alias("golden_id"))
+    return ingest.affected_goldens(changes, held)
 
 
 # -- blocking and scoring ---------------------------------------------------------------------------
@@ -248,11 +267,20 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.decision_counts(pair_scores(spark, sf_dir))
 
 
-@query(SCORES + " select left_id, right_id, round(raw, 6) as score from scores where decision = 'REVIEW' order by round(raw, 6) desc, left_id, right_id limit 100")
+@query(SCORES + " select left_id, right_id, 'CANDIDATE' as type, 'PENDING' as status, case when contradiction then 'Email and phone both contradict' else 'Score meets review threshold but not auto-match safeguards' end as reason from scores where decision = 'REVIEW' and right(left_id, 1) <> '7'")
 def review_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred in the order of publication: a report of its own."""
-    out = pair_scores(spark, sf_dir).filter("decision = 'REVIEW'").select("left_id", "right_id", F.round("raw_score", 6).alias("score"))
-    return out.orderBy(F.desc("score"), "left_id", "right_id").limit(100)
+    """The items that a run publishes, where those of some pairs are pending already."""
+    held = pair_scores(spark, sf_dir).withColumn("first_run", F.lit("run-1"))
+    pending = held.filter(F.right("left_id", F.lit(1)) == "7").select("left_id", "right_id", F.lit("PENDING").alias("status"))
+    return review.publish(held, pending, "run-1", F.lit(NOW).cast("timestamp")).select("left_id", "right_id", "type", "status", "reason")
+
+
+@query(PAIRS + " select left_id, right_id, rules, case when right(left_id, 1) < '5' then 'run-0' else 'run-1' end as first_run from pairs")
+def candidate_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a second run meet those of a first, which knew one rule of each."""
+    new = blocking.candidate_pairs(normalized(spark, sf_dir)).withColumn("first_run", F.lit("run-1"))
+    old = new.filter(F.right("left_id", F.lit(1)) < "5").withColumn("rules", F.slice("rules", 1, 1)).withColumn("first_run", F.lit("run-0"))
+    return blocking.merge_candidates(old, new).withColumn("rules", F.array_join("rules", ","))
 
 
 # -- clusters and golden records --------------------------------------------------------------------
@@ -278,6 +306,41 @@ def survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.projected(group_members(spark, sf_dir)).select("golden_id", "full_name", "email", "phone", "address", "n_members")
 
 
+@query("select cast(c_custkey as varchar) as source_id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) as golden_id from (select *, md5('golden|' || c_custkey) as m from customer where c_custkey % 4 <> 0) t")
+def singleton_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A golden for each source that has none."""
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_id"))
+    held = sources.filter("cast(source_id as bigint) % 4 = 0").withColumn("golden_id", F.lit("g"))
+    return golden.singletons(sources.unionByName(sources), held)
+
+
+@query(
+    WINNERS
+    + """, told as (select golden_id, string_agg(field || '=' || source_system || ':' || source_record_id || ':' || value, ';' order by field) as provenance from winners group by golden_id),
+  members as (select group_id, count(*) as n, string_agg(source_system || ':' || source_record_id, ';' order by source_system, source_record_id) as members from records group by group_id)
+  select group_id as golden_id, case when right(group_id, 1) = '3' then null else 2 end as current_version, members, case when right(group_id, 1) <> '3' then provenance end as provenance, case when right(group_id, 1) <> '3' then (select max(value) from winners w where w.golden_id = group_id and field = 'full_name') end as full_name from members left join told on golden_id = group_id"""
+)
+def golden_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header, current version, members and provenance; goldens without a version have neither."""
+    members = group_members(spark, sf_dir)
+    heads = members.select("golden_id").distinct().withColumn("current_version", F.when(F.right("golden_id", F.lit(1)) != "3", 2))
+    versions = golden.projected(members).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).withColumn("full_name", F.when(F.col("version") == 2, F.col("full_name")))
+    told = golden.provenance(members).withColumn("version", F.lit(2))
+    out = golden.read_golden(heads, versions, members.select("source_id", "golden_id"), told, members)
+    listed = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["source_system"], m["source_record_id"])), ";")
+    origin = F.array_join(F.transform("provenance", lambda p: F.concat(p["field"], F.lit("="), F.concat_ws(":", p["source_system"], p["source_record_id"], p["value"]))), ";")
+    return out.select("golden_id", "current_version", listed.alias("members"), origin.alias("provenance"), "full_name")
+
+
+@query("select event_id, event_type as type from events where user_id % 50 = 3 or event_id % 50 = 3 and event_id % 7 < 2")
+def golden_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a golden, and those in which it was absorbed or made by a split."""
+    other = F.concat(F.lit("g"), F.col("event_id") % 50)
+    details = F.create_map(F.when(F.col("event_id") % 7 == 0, "absorbedGoldenId").when(F.col("event_id") % 7 == 1, "newGoldenId").otherwise("else"), other)
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("g"), F.col("user_id") % 50).alias("golden_id"), F.col("event_type").alias("type"), details.alias("details"), F.timestamp_seconds("event_id").alias("created_at"))
+    return golden.history(events, "g3").select("event_id", "type")
+
+
 def resolution(spark: SparkSession, sf_dir: str, rules: RuleSet = RuleSet()) -> tuple[DataFrame, DataFrame]:
     """All records as singletons, and what becomes of each automatic pair."""
     rows = settle(normalized(spark, sf_dir), "resolution-records")
@@ -317,12 +380,49 @@ def engine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- review, figures, evaluation --------------------------------------------------------------------
 
 
-@query("select c_custkey, c_name, c_nationkey from customer where (c_nationkey, c_custkey) > (10, 100) order by c_nationkey, c_custkey limit 26")
+def event_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as review items of 1600 pairs."""
+    kind = F.when(F.col("event_id") % 3 == 0, "CANDIDATE").otherwise("CLUSTER_CONFLICT")
+    return table(spark, sf_dir, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 9, "0").alias("review_id"), kind.alias("type"), F.expr("'run-' || (event_id % 2)").alias("run_id"),
+        F.expr("cast(user_id % 40 + 1 as string)").alias("left_id"), F.expr("cast(event_id % 40 + 41 as string)").alias("right_id"),
+        F.when(F.col("event_type").isin("view", "click"), "PENDING").otherwise("RESOLVED").alias("status"), F.timestamp_seconds(F.col("event_id") % 40 * 86400).alias("created_at"),
+    )
+
+
+def event_candidates(spark: SparkSession) -> DataFrame:
+    pairs = spark.range(1600).select(F.expr("id div 40 + 1").alias("a"), F.expr("id % 40 + 41").alias("b")).filter("(a + b) % 3 = 0")
+    return pairs.select(F.col("a").cast("string").alias("left_id"), F.col("b").cast("string").alias("right_id"), (F.col("a") / 64).alias("score"), F.array(F.lit("EXACT_EMAIL")).alias("rules"), F.lit("REVIEW").alias("decision"), F.lit(None).cast("string").alias("evidence"), F.lit("PENDING").alias("apply_status"))
+
+
+ITEMS = "select *, lpad(cast(event_id as varchar), 9, '0') as review_id, user_id % 40 + 1 as l, event_id % 40 + 41 as r from events"
+
+
+@query(f"select review_id, 86400 * (event_id % 40) as created_epoch, case when (l + r) % 3 = 0 then l / 64.0::double end as score from ({ITEMS}) t where event_type in ('view', 'click') and event_id % 3 = 0 and event_id % 2 = 0 and (event_id % 40 > 10 or event_id % 40 = 10 and review_id > '000000400') order by 2, 1 limit 26")
 def review_queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyset paging on a pair of columns: a page of 25, and one more row that tells of the next."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    after = F.struct("c_nationkey", "c_custkey") > F.struct(F.lit(10), F.lit(100).cast("long"))
-    return rows.filter(after).orderBy("c_nationkey", "c_custkey").limit(26)
+    """A page of 25 pending items of one kind and run after a cursor, and one more row that tells of the next."""
+    cursor = identity.encode_cursor("1970-01-11T00:00:00Z", "000000400")
+    rows, _ = review.page(event_reviews(spark, sf_dir), event_candidates(spark), cursor, "CANDIDATE", "run-0", 25)
+    return rows.select("review_id", F.unix_seconds("created_at").alias("created_epoch"), "score")
+
+
+@query(f"""with items as ({ITEMS}), said as (select review_id, count(*) as n, arg_max(case when event_id % 3 = 0 then 'MATCH' else 'NO_MATCH' end, event_id) as last from
+  (select event_id, lpad(cast(event_id - event_id % 4 as varchar), 9, '0') as review_id from events where event_type = 'purchase') t group by review_id)
+  select i.review_id, case when (l + r) % 3 = 0 then l / 64.0::double end as score, a.c_name as left_name, case when l % 3 < 2 then 'g' || (l % 7) end as left_golden, b.c_name as right_name, case when r % 3 < 2 then 'g' || (r % 7) end as right_golden, n as n_decisions, last as last_decision
+  from items i left join customer a on a.c_custkey = l left join customer b on b.c_custkey = r left join said on said.review_id = i.review_id""")
+def review_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its candidate, both records with their goldens, and its decisions in order."""
+    people = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    empty = [F.lit(None).cast("string").alias(c) for c in ("source_system", "source_record_id", "email", "phone", "address", "postal_code")]
+    revisions = people.select(key.alias("revision_id"), key.alias("source_id"), F.lit(1).alias("revision_number"), F.col("c_name").alias("full_name"), *empty)
+    memberships = people.filter("c_custkey % 3 < 2").select(key.alias("source_id"), F.expr("'g' || (c_custkey % 7)").alias("golden_id"))
+    said = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
+        F.expr("lpad(cast(event_id - event_id % 4 as string), 9, '0')").alias("review_id"), F.col("event_id").alias("decision_id"), F.when(F.col("event_id") % 3 == 0, "MATCH").otherwise("NO_MATCH").alias("decision"),
+        F.timestamp_seconds("event_id").alias("created_at"), *(F.lit(None).cast("string").alias(c) for c in ("supersedes_id", "actor", "note")),
+    )
+    out = review.detail(event_reviews(spark, sf_dir), event_candidates(spark), revisions, memberships, said)
+    return out.select("review_id", "score", F.col("left.full_name").alias("left_name"), F.col("left.golden_id").alias("left_golden"), F.col("right.full_name").alias("right_name"), F.col("right.golden_id").alias("right_golden"), F.when(F.col("decisions").isNotNull(), F.size("decisions").cast("long")).alias("n_decisions"), F.element_at("decisions", -1)["decision"].alias("last_decision"))
 
 
 LATEST = "select least(user_id % 40, event_id % 40) as a, greatest(user_id % 40, event_id % 40) as b, case when event_id % 3 = 0 then 'MATCH' else 'NO_MATCH' end as decision, ts, event_id from events"
