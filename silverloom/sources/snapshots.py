@@ -39,7 +39,7 @@ def write_new(frame: DataFrame, name: str) -> str:
     path = f"{shared_folder(frame.sparkSession)}/silverloom/{name}-{uuid.uuid4().hex}"
     if WATCHED:
         WATCHED[-1].append(path)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return path
 
 
