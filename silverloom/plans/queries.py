@@ -12,7 +12,7 @@ from silverloom.operators import blocking, clustering, golden, ingest, metrics,
 from silverloom.operators.components import connected_components
 from silverloom.operators.rules import RuleSet
 from silverloom.plans import engine
-from silverloom.sources import records
+from silverloom.sources import records, sinks
 from silverloom.sources.snapshots import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,7 +438,10 @@ def latest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.latest_decisions(said, reviews, revisions)
 
 
-@query("select count(*) filter (where event_id % 4 < 2) as active_runs, coalesce(sum(event_id % 3), 0)::bigint as apply_failures, coalesce(sum(event_id % 5), 0)::bigint as retries, coalesce(max(user_id), 0) as max_block_size, count(*) filter (where event_type = 'purchase') as pending_reviews from events")
+RUN_METRICS = "select count(*) filter (where event_id % 4 < 2) as active_runs, coalesce(sum(event_id % 3), 0)::bigint as apply_failures, coalesce(sum(event_id % 5), 0)::bigint as retries, coalesce(max(user_id), 0) as max_block_size, count(*) filter (where event_type = 'purchase') as pending_reviews from events"
+
+
+@query(RUN_METRICS)
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     status = F.when(F.col("event_id") % 4 == 0, "STARTING").when(F.col("event_id") % 4 == 1, "RUNNING").otherwise("COMPLETED")
@@ -446,6 +449,11 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.gauges(runs, events.select(F.when(F.col("event_type") == "purchase", "PENDING").otherwise("RESOLVED").alias("status")))
 
 
+@query(" union all ".join(f"select 'silverloom_{c} ' || {c} as line from ({RUN_METRICS}) t" for c in ("active_runs", "apply_failures", "retries", "max_block_size", "pending_reviews")))
+def exported_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.as_gauges(run_metrics(spark, sf_dir))
+
+
 @query(CORPUS + " select a.source_record_id as left_id, b.source_record_id as right_id from records a join records b on a.group_id = b.group_id and a.source_record_id < b.source_record_id where a.group_id like 'duplicate-%'")
 def true_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.true_pairs(corpus(spark, sf_dir).select("group_id", F.col("source_record_id").alias("record_id")))

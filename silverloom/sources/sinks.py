@@ -16,6 +16,13 @@ def write_json(frame: DataFrame, path: str) -> None:
     as_json(frame).write.text(path)
 
 
+def as_gauges(frame: DataFrame, prefix: str = "silverloom") -> DataFrame:
+    """A line ``prefix_column value`` for each column of a row of numbers, as scrapers of metrics read them;
+    a null number has no line."""
+    lines = F.array(*(F.concat(F.lit(f"{prefix}_{c} "), F.col(c).cast("string")) for c in frame.columns))
+    return frame.select(F.explode(F.array_compact(lines)).alias("line"))
+
+
 def insert_new(held: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The table with those rows whose key it lacks."""
     return held.unionByName(rows.join(held.select(*keys), keys, "left_anti").select(*held.columns))
