@@ -2,7 +2,7 @@
 
 import json
 
-from silverloom.sources import sinks
+from silverloom.sources import records, sinks
 
 
 def test_json_leaves_nulls_out(spark, tmp_path):
@@ -23,3 +23,12 @@ def test_observed_count(spark):
     frame, seen = sinks.observed(spark.range(7), "rows")
     frame.collect()
     assert seen.get == {"rows": 7}
+
+
+def test_jdbc_table_is_read_in_parts(spark):
+    """A table of another database (one in memory that comes with Spark), whole and by parts of a column."""
+    url = "jdbc:derby:memory:held;create=true"
+    spark.range(100).selectExpr("cast(id as int) as id", "cast(id * id as int) as square").write.jdbc(url, "numbers")
+    want = [(i, i * i) for i in range(100)]
+    for frame, parts in ((records.read_jdbc(spark, url, "numbers"), 1), (records.read_jdbc(spark, url, "numbers", "id", (0, 100), 4), 4)):
+        assert sorted(tuple(r) for r in frame.collect()) == want and frame.rdd.getNumPartitions() == parts
