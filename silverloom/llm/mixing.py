@@ -222,6 +222,8 @@ def fit_steps(members: DataFrame, targets: np.ndarray, repeat: float | None = No
         gram = got[k : k + k * k].reshape(k, k)
         step = np.linalg.solve(gram + np.diag(DAMPING * gram.sum(1) + 1e-9 * total), miss)
         fit.steps.append(step)
+    else:
+        fit.met = sums(fit.steps)[:k] / total
     return fit
 
 
