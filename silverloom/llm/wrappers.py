@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction (operator 2).
 
 A page becomes a tree of its block elements; neighbours of one kind are one repeating node. Trees of a
-host that look alike are one layout, whose reference is its most frequent tree. Every distinct tree
+host that look alike are one layout, whose reference is its most frequent tree; a host has as many as it
+takes until every tree is like one. Every distinct tree
 of the host is aligned with its nearest reference by simple tree matching, so that each block of each
 page belongs to a slot of the reference, and every slot is judged by all distinct pages of the layout:
 a text that stands there on nearly all of them is template; text in links is navigation; what varies is
@@ -58,8 +59,9 @@ RUN = 5
 #: A text is template if it stands in its slot on this share of so many distinct pages of the layout;
 #: inside the element that holds the content, of so many.
 SAME_SHARE, FEWEST, FEWEST_INSIDE = 0.9, 3, 20
-#: Trees of a host that its references are chosen from; how alike trees of one layout are.
-TREES, ALIKE = 64, 0.5
+#: Trees of a host that its references are first chosen from, and references in a row; how many it gives
+#: at once of those that are like none so far; how alike trees of one layout are.
+TREES, MOST_TREES, ALIKE = 64, 1024, 0.5
 #: Beside the content stand slots of at most so many letters in so many blocks a page, or elements
 #: with at most this share of it; a slot whose text is in links to this share is navigation.
 SHORT, FEW_BLOCKS, BESIDE, LINKED = 200, 2, 0.2, 0.6
@@ -471,40 +473,80 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return settle(map_batches(rows, schema_with(rows, ["page_id", "url", "host"], f"page binary, skel long, tree string, named boolean, texts array<string>, blocks {BLOCK}"), each), "pages-read")
 
 
-def induce_wrappers(read: DataFrame) -> DataFrame:
-    """of, of_skel: a host and one of its trees; slots: the tree's nodes with content; template: hashes of
-    the texts that are none; passed: whether names inside are to be passed over."""
-    once = F.transform(F.filter("blocks", lambda b: b["flag"] >= FIRST), lambda b: F.struct(b["slot"].alias("slot"), b["h"].alias("h"), b["chars"].alias("chars"), b["link"].alias("link")))
-    full = read.filter(F.size("blocks") > 0).select("host", "page", "skel", "tree", once.alias("blocks"))  # a text counts once a page
-    distinct = full.groupBy("host", "page").agg(F.first("skel").alias("skel"), F.first("tree").alias("tree"), F.first("blocks").alias("blocks"))
-    distinct = settle(distinct, "distinct-pages")
-    trees = settle(distinct.groupBy("host", "skel").agg(F.count("*").alias("pages"), F.min("tree").alias("tree")), "page-trees")
+def choose_references(trees: DataFrame, many: int, fewest: int, chunk: int) -> DataFrame:
+    """of, chunk and references: of the most frequent trees of each host, so many at most, those like none
+    before, TREES in a row; rows of a host are numbered from chunk on. Hosts of fewer pages have none."""
     order = Window.partitionBy("host").orderBy(F.desc("pages"), "skel")
-    top = trees.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TREES)
-    hosts = top.groupBy("host").agg(F.sum("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("place", "tree"))).alias("trees")).filter(F.col("pages") >= FEWEST)
+    top = trees.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= many)
+    hosts = top.groupBy("host").agg(F.sum("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("place", "tree"))).alias("trees")).filter(F.col("pages") >= fewest)
 
     def choose(batch: pa.RecordBatch) -> dict:
-        chosen = [layouts([json.loads(t["tree"]) for t in some]) for some in batch.column("trees").to_pylist()]
-        return {"of": batch.column("host"), "references": [[json.dumps(t, separators=(",", ":"), ensure_ascii=False) for t in some] for some in chosen]}
+        out: dict[str, list] = {"of": [], "chunk": [], "references": []}
+        for host, some in zip(batch.column("host").to_pylist(), batch.column("trees").to_pylist()):
+            found = [json.dumps(t, separators=(",", ":"), ensure_ascii=False) for t in layouts([json.loads(t["tree"]) for t in some])]
+            for at in range(0, len(found), TREES):
+                out["of"].append(host)
+                out["chunk"].append(chunk + at // TREES)
+                out["references"].append(found[at : at + TREES])
+        return out
+
+    return settle(map_batches(hosts.select("host", "trees"), "of string, chunk int, references array<string>", choose), "page-references")
 
-    chosen = settle(map_batches(hosts.select("host", "trees"), "of string, references array<string>", choose), "page-references")
+
+def align_trees(trees: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Each tree with each row of its host's references: like, and ref and to of the nearest (null: like none)."""
 
     def align(batch: pa.RecordBatch) -> dict:
         known: dict[tuple[str, ...], tuple[Shapes, list[list]]] = {}
-        ref, to = [], []
-        for tree, some in zip(batch.column("tree").to_pylist(), batch.column("references").to_pylist()):
+        near, ref, to = [], [], []
+        for tree, chunk, some in zip(*(batch.column(c).to_pylist() for c in ("tree", "chunk", "references"))):
             if tuple(some) not in known:
                 known[tuple(some)] = Shapes(), [json.loads(r) for r in some]
             shapes, held = known[tuple(some)]
             page = json.loads(tree)
             like = [alike(shapes, page, r) for r in held]
             best = int(np.argmax(like))
-            ref.append(best if like[best] >= ALIKE else None)
+            near.append(like[best])
+            ref.append(chunk * TREES + best if like[best] >= ALIKE else None)
             to.append(aligned(shapes, held[best], page) if like[best] >= ALIKE else None)
-        return {c: batch.column(c) for c in ("host", "skel", "pages")} | {"ref": ref, "to": to}
+        return {c: batch.column(c) for c in ("host", "skel", "pages")} | {"like": near, "ref": ref, "to": to}
+
+    met = trees.join(chosen, F.col("host") == F.col("of")).select("host", "skel", "pages", "tree", "chunk", "references")
+    return settle(map_batches(met, "host string, skel long, pages long, like double, ref int, to array<int>", align), "trees-aligned")
+
+
+def nearest_references(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The references of all hosts, and each tree of a host of FEWEST pages with its nearest reference: host,
+    skel, pages, ref and to. Trees like none of the references so far give more, until none is left: what
+    taking all trees of a host in turn would choose."""
+    chosen = choose_references(trees, TREES, FEWEST, 0)
+    placed = align_trees(trees, chosen)
+    rest, many, chunk = placed.filter("ref is null"), TREES, 1
+    if not rest.isEmpty():
+        left = trees
+        while not rest.isEmpty():
+            gone = rest.select(F.col("host").alias("of"), F.col("skel").alias("of_skel"))
+            left = settle(left.join(gone, (F.col("host") == F.col("of")) & (F.col("skel") == F.col("of_skel")), "left_semi"), "trees-left")
+            many = min(4 * many, MOST_TREES)
+            more = choose_references(left, many, 1, chunk)
+            chosen, chunk = chosen.unionByName(more), chunk + -(-many // TREES)
+            rest = align_trees(left, more).filter("ref is null")
+        chosen = settle(chosen, "page-references")
+        best = F.max_by(F.struct("ref", "to"), F.struct("like", -F.col("ref"))).alias("best")  # of equals the first
+        placed = align_trees(trees, chosen).filter("ref is not null").groupBy("host", "skel").agg(F.first("pages").alias("pages"), best)
+        placed = settle(placed.select("host", "skel", "pages", "best.ref", "best.to"), "trees-placed")
+    return chosen, placed
+
 
-    met = trees.join(chosen, F.col("host") == F.col("of")).select("host", "skel", "pages", "tree", "references")
-    placed = settle(map_batches(met, "host string, skel long, pages long, ref int, to array<int>", align).filter("ref is not null"), "trees-aligned")
+def induce_wrappers(read: DataFrame) -> DataFrame:
+    """of, of_skel: a host and one of its trees; slots: the tree's nodes with content; template: hashes of
+    the texts that are none; passed: whether names inside are to be passed over."""
+    once = F.transform(F.filter("blocks", lambda b: b["flag"] >= FIRST), lambda b: F.struct(b["slot"].alias("slot"), b["h"].alias("h"), b["chars"].alias("chars"), b["link"].alias("link")))
+    full = read.filter(F.size("blocks") > 0).select("host", "page", "skel", "tree", once.alias("blocks"))  # a text counts once a page
+    distinct = full.groupBy("host", "page").agg(F.first("skel").alias("skel"), F.first("tree").alias("tree"), F.first("blocks").alias("blocks"))
+    distinct = settle(distinct, "distinct-pages")
+    trees = settle(distinct.groupBy("host", "skel").agg(F.count("*").alias("pages"), F.min("tree").alias("tree")), "page-trees")
+    chosen, placed = nearest_references(trees)
     texts = distinct.select("host", "skel", F.explode("blocks").alias("b")).groupBy("host", "skel", "b.slot", "b.h").agg(F.count("*").alias("n"), F.first("b.chars").alias("chars"), F.first("b.link").alias("link"))
     own = placed.select(F.col("host").alias("of"), F.col("skel").alias("of_skel"), "ref", "to")
     slots = texts.join(own, (F.col("host") == F.col("of")) & (F.col("skel") == F.col("of_skel"))).select("host", "ref", F.col("to")[F.col("slot")].alias("slot"), "h", "n", "chars", "link")
@@ -515,7 +557,8 @@ def induce_wrappers(read: DataFrame) -> DataFrame:
     each = lambda c: F.sum(F.col("n") * F.col(c))
     sums = judged.groupBy("host", "ref", "pages", "slot").agg(F.sum("n").alias("blocks"), each("chars").alias("chars"), each("link").alias("link"), F.coalesce(F.sum(F.when(same, F.col("n") * (F.col("chars") - F.col("link")))), F.lit(0)).alias("same"), F.collect_list(F.when(same, F.col("h"))).alias("template"))
     told = sums.groupBy("host", "ref", "pages").agg(F.collect_list(F.struct("slot", "blocks", "chars", "link", "same", "template")).alias("slots"))  # a template holds what stands on nearly all pages: no more than a page
-    told = told.join(chosen, F.col("host") == F.col("of")).select("host", "ref", "pages", "slots", F.col("references")[F.col("ref")].alias("tree"))
+    here = (F.col("host") == F.col("of")) & (F.floor(F.col("ref") / TREES) == F.col("chunk"))
+    told = told.join(chosen, here).select("host", "ref", "pages", "slots", F.col("references")[F.col("ref") % TREES].alias("tree"))
 
     def decide(batch: pa.RecordBatch) -> dict:
         out = {"keep": [], "passed": [], "template": []}

@@ -35,6 +35,17 @@ def test_constant_slots_are_template(spark):
     assert got[100] == "The Daily Site\nStory alone begins.\nIt ends with alone & more.\nAll rights kept"
 
 
+def test_layouts_beyond_the_first_trees(spark):
+    """Seventy layouts whose trees come first, and one of rarer trees that is like none of them."""
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
+    rows = [(2 * k + i, "http://a.example/", f"<x-{n}><p>text {n} {i}</p></x-{n}>") for k, n in enumerate(names) for i in range(2)]
+    page = "<html><body><div class=top>The Daily Site</div><div id=c1><p>Story {0} begins.</p><z-{0}>It ends with {0}.</z-{0}></div><div class=legal>All rights kept</div></body></html>"
+    rows += [(1000 + k, "http://a.example/", page.format(n)) for k, n in enumerate(names[:12])]
+    got = texts(spark, rows)
+    assert all(got[1000 + k] == f"Story {n} begins.\nIt ends with {n}." for k, n in enumerate(names[:12]))
+    assert all(got[2 * k + i] == f"text {n} {i}" for k, n in enumerate(names) for i in range(2))
+
+
 def test_equal_pages_are_no_evidence(spark):
     rows = [(i, "http://a.example/x", "<body><p>same text</p></body>") for i in range(9)]
     assert set(texts(spark, rows).values()) == {"same text"}
