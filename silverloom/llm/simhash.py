@@ -133,8 +133,10 @@ class Forest:
             np.minimum.at(self.root, a, b)
 
 
-def link_within(bits: np.ndarray, members: np.ndarray, queries: np.ndarray, radius: int, forest: Forest) -> None:
-    """Join each query to every member within the radius: a vantage-point tree, built as it is searched."""
+def pairs_within(bits: np.ndarray, members: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each query with every member within the radius: a vantage-point tree, built as it is searched. bits:
+    a fingerprint a row, of one word or of several."""
+    differ = np.bitwise_count if bits.ndim == 1 else lambda x: np.bitwise_count(x).sum(-1, dtype=np.int64)
     todo = [(members, queries)]
     while todo:
         own, ask = todo.pop()
@@ -142,7 +144,7 @@ def link_within(bits: np.ndarray, members: np.ndarray, queries: np.ndarray, radi
             continue
         if len(own) > LEAF and len(ask) > 1:
             vantage = bits[own[len(own) // 2]]
-            there, here = np.bitwise_count(bits[own] ^ vantage), np.bitwise_count(bits[ask] ^ vantage).astype(np.int64)
+            there, here = differ(bits[own] ^ vantage), differ(bits[ask] ^ vantage).astype(np.int64)
             middle = int(np.median(there))
             inner = there <= middle
             if 0 < inner.sum() < len(own):
@@ -151,8 +153,14 @@ def link_within(bits: np.ndarray, members: np.ndarray, queries: np.ndarray, radi
                 continue
         for at in range(0, len(ask), max(1, (1 << 20) // len(own))):
             some = ask[at : at + max(1, (1 << 20) // len(own))]
-            q, m = np.nonzero(np.bitwise_count(bits[some][:, None] ^ bits[own][None, :]) <= radius)
-            forest.join(some[q], own[m])
+            q, m = np.nonzero(differ(bits[some][:, None] ^ bits[own][None, :]) <= radius)
+            yield some[q], own[m]
+
+
+def link_within(bits: np.ndarray, members: np.ndarray, queries: np.ndarray, radius: int, forest: Forest) -> None:
+    """Join each query to every member within the radius."""
+    for q, m in pairs_within(bits, members, queries, radius):
+        forest.join(q, m)
 
 
 def shard_links(fp: np.ndarray, rep: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
