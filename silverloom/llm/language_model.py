@@ -64,7 +64,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    """By row, in place."""
+    """By row, maybe in place; with the largest taken out first where it overflows or nothing is left."""
+    if logits.max() < 60:
+        got = np.exp(logits)
+        sums = got @ np.ones(got.shape[1], got.dtype)
+        if sums.min() > 1e-20:
+            got /= sums[:, None]
+            return got
     logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(1, keepdims=True)
@@ -78,7 +84,7 @@ def log_sums(logits: np.ndarray) -> np.ndarray:
         logits -= top
         return log_sums(logits) + top if logits.max(1).min() > -60 else top + logits.max(1) + np.log(np.exp(logits - logits.max(1, keepdims=True)).sum(1))
     np.exp(logits, out=logits)
-    return np.log(logits.sum(1))
+    return np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
 @dataclass
@@ -179,7 +185,7 @@ class Recurrent:
         out = logits[np.arange(len(ids)), classes]
         out -= log_sums(logits)
         order, runs = by_class(classes, len(self.p["word"]))
-        h, place, inner = h[order], ids[order] % self.class_size, np.empty(len(ids), out.dtype)
+        h, place, inner = h.take(order, 0), ids[order] % self.class_size, np.empty(len(ids), out.dtype)
         for c, rows in runs:
             logits = h[rows] @ self.p["word"][c]
             logits += self.p["word_bias"][c]
@@ -195,7 +201,7 @@ class Recurrent:
         table, h, kept, states = self.inputs(), state, [], []
         for t in range(steps):
             h = h * (before[t] != end)[:, None]
-            new, *rest = self.step(table[before[t]], h)
+            new, *rest = self.step(table.take(before[t], 0), h)
             kept.append((h, *rest))
             states.append(new)
             h = new
@@ -209,7 +215,7 @@ class Recurrent:
         g["class"], g["class_bias"] = flat.T @ share, share.sum(0)
         d = share @ p["class"].T
         order, runs = by_class(classes, len(p["word"]))
-        sorted_, place, back = flat[order], ys[order] % self.class_size, np.empty_like(flat)
+        sorted_, place, back = flat.take(order, 0), ys[order] % self.class_size, np.empty_like(flat)
         for c, rows in runs:
             inner = sorted_[rows] @ p["word"][c]
             inner += p["word_bias"][c]
@@ -219,7 +225,9 @@ class Recurrent:
             inner[at] -= 1
             g["word"][c], g["word_bias"][c] = sorted_[rows].T @ inner, inner.sum(0)
             np.matmul(inner, p["word"][c].T, out=back[rows])
-        d[order] += back
+        again = np.empty_like(order)
+        again[order] = every
+        d += back.take(again, 0)
         d = d.reshape(steps, streams, n)
         down = np.zeros((streams, n), np.float32)
         into = np.empty((steps, streams, 3 * n), np.float32)
@@ -236,11 +244,11 @@ class Recurrent:
         into = into.reshape(-1, 3 * n)
         ahead = before.ravel()
         g["bias"] = into.sum(0)
-        g["into"] = p["embed"][ahead].T @ into
+        g["into"] = p["embed"].take(ahead, 0).T @ into
         embed = into @ p["into"].T
         order = np.argsort(ahead, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ahead[order]) > 0])
-        g["embed"][ahead[order][first]] = np.add.reduceat(embed[order], first, axis=0)
+        g["embed"][ahead[order][first]] = np.add.reduceat(embed.take(order, 0), first, axis=0)
         return float(loss), g, states[-1]
 
 
@@ -292,7 +300,7 @@ def score_documents(model: Recurrent, documents: list[np.ndarray], end: int) ->
         states, ids, size, first = [], [], 0, at
         while at < longest and (not size or size + live[at] <= WINDOW_TOKENS):
             n = int(live[at])
-            h = model.step(table[last[:n]], h[:n])[0]
+            h = model.step(table.take(last[:n], 0), h[:n])[0]
             last = flat[starts[:n] + at].astype(np.int64)
             states.append(h)
             ids.append(last)

@@ -157,3 +157,17 @@ def test_no_documents(no_docs, odd_docs):
     rows = lm.score_texts(odd_docs, F.lit(True)).collect()
     assert len(rows) == odd_docs.count() and {(r.train_tokens, r.n_known) for r in rows} == {(0, 0)}
     assert all(r.base_score == pytest.approx(0) for r in rows)
+
+
+@pytest.mark.parametrize("kind", [np.float32, float])
+def test_shares_of_any_logits(kind):
+    """Whether they overflow, vanish or neither, and with places that no output has."""
+    for shift in (0, 55, 300, -40, -300):
+        logits = (np.random.default_rng(5).standard_normal((7, 9)) * 3 + shift).astype(kind)
+        logits[:, -2:] = -1e9
+        want = logits.astype(float) - logits.astype(float).max(1, keepdims=True)
+        want = np.exp(want) / np.exp(want).sum(1, keepdims=True)
+        assert lm.softmax(logits.copy()) == pytest.approx(want, rel=1e-4, abs=1e-12)
+    mixed = np.array([[0, 1, 2], [-200, -201, -202], [80, 0, 0]], kind)
+    assert lm.softmax(mixed[:2].copy())[:, 0] == pytest.approx([0.09003057, 0.66524096], rel=1e-4)
+    assert lm.softmax(mixed.copy()).sum(1) == pytest.approx(np.ones(3), rel=1e-5)
