@@ -45,6 +45,8 @@ ROUNDS, SHARD_TOKENS, STREAMS, WINDOWS, STEPS = 3, 2_000_000, 512, 150, 24
 RATES = (0.006, 0.004, 0.002)
 #: Scoring: documents in step, tokens a block holds, tokens a window holds.
 TOGETHER, BLOCK_TOKENS, WINDOW_TOKENS = 4096, 3_000_000, 32_768
+#: Rows that go through the outputs together, so that they stay in a core's cache.
+PIECE = 512
 #: Words that a counting task holds before it passes them on.
 HELD = 300_000
 
@@ -55,22 +57,20 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def exp_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """exp and its sums by row, unless one overflows or has nothing left."""
+    with np.errstate(over="ignore"):
+        got = np.exp(logits)
+        sums = got @ np.ones(got.shape[1], got.dtype)
+    return (got, sums) if sums.min() > 1e-20 and sums.max() < 1e30 else None
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
     """By row, maybe in place; with the largest taken out first where it overflows or nothing is left."""
-    if logits.max() < 60:
-        got = np.exp(logits)
-        sums = got @ np.ones(got.shape[1], got.dtype)
-        if sums.min() > 1e-20:
-            got /= sums[:, None]
-            return got
+    if plain := exp_sums(logits):
+        got, sums = plain
+        got *= (1 / sums)[:, None]
+        return got
     logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(1, keepdims=True)
@@ -78,13 +78,11 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def log_sums(logits: np.ndarray) -> np.ndarray:
-    """Log of the sum of exp, by row, in place; with the largest taken out first where it overflows."""
-    top = logits.max()
-    if not -60 < top < 60:
-        logits -= top
-        return log_sums(logits) + top if logits.max(1).min() > -60 else top + logits.max(1) + np.log(np.exp(logits - logits.max(1, keepdims=True)).sum(1))
-    np.exp(logits, out=logits)
-    return np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    """Log of the sum of exp, by row; with the largest taken out first where it overflows or nothing is left."""
+    if plain := exp_sums(logits):
+        return np.log(plain[1])
+    top = logits.max(1)
+    return top + np.log(np.exp(logits - top[:, None]).sum(1))
 
 
 @dataclass
@@ -136,6 +134,14 @@ class Recurrent:
 
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = parameters
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory of that shape, the same each time: what is new from the system costs more than what is done in it."""
+        got = self.rooms.get(name)
+        if got is None or got.shape != shape or got.dtype != self.p["loop"].dtype:
+            got = self.rooms[name] = np.empty(shape, self.p["loop"].dtype)
+        return got
 
     @classmethod
     def fresh(cls, words: Vocabulary, hidden: int = HIDDEN, seed: int = 7) -> "Recurrent":
@@ -164,99 +170,154 @@ class Recurrent:
     def class_size(self) -> int:
         return self.p["word"].shape[2]
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x: the input's part of the gates. New state, and what the way back needs."""
-        n = h.shape[1]
-        back = h @ self.p["loop"]
-        gates = sigmoid(x[:, : 2 * n] + back[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * back[:, 2 * n :])
-        return new + z * (h - new), z, r, new, back[:, 2 * n :]
-
     def inputs(self) -> np.ndarray:
         """The gates' part of every word, once for all."""
         return self.p["embed"] @ self.p["into"] + self.p["bias"]
 
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """x: the input's part of the gates, as inputs() has it. New state, and what the way back needs."""
+        return advance(gate_by_gate(x), h, gate_by_gate(self.p["loop"]), np.empty((5, *h.shape), h.dtype))
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of words, biases below them: for states with a one behind."""
+        return np.concatenate([self.p["class"], self.p["class_bias"][None]]), np.concatenate([self.p["word"], self.p["word_bias"][:, None]], 1)
+
     def log_probabilities(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(output | state)."""
-        classes = ids // self.class_size
-        logits = h @ self.p["class"]
-        logits += self.p["class_bias"]
-        out = logits[np.arange(len(ids)), classes]
-        out -= log_sums(logits)
-        order, runs = by_class(classes, len(self.p["word"]))
-        h, place, inner = h.take(order, 0), ids[order] % self.class_size, np.empty(len(ids), out.dtype)
+        to_class, to_word = self.outputs()
+        classes, inside = np.divmod(ids, self.class_size)
+        order, runs = by_class(classes, len(to_word))
+        out, every = np.empty(len(ids), h.dtype), np.arange(PIECE)
         for c, rows in runs:
-            logits = h[rows] @ self.p["word"][c]
-            logits += self.p["word_bias"][c]
-            inner[rows] = logits[np.arange(len(logits)), place[rows]]
-            inner[rows] -= log_sums(logits)
-        out[order] += inner
+            at = order[rows]
+            some = with_ones(h.take(at, 0))
+            logits, inner = some @ to_class, some @ to_word[c]
+            out[at] = logits[:, c] + inner[every[: len(at)], inside[at]] - log_sums(logits) - log_sums(inner)
         return out
 
     def gradients(self, ids: np.ndarray, before: np.ndarray, state: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss and gradients over a window. ids: (steps, streams); before: the tokens ahead of them;
         the state restarts after an END. Returns the state that the next window goes on from."""
         p, (steps, streams), n = self.p, ids.shape, state.shape[1]
-        table, h, kept, states = self.inputs(), state, [], []
+        table, loop, kind = gate_by_gate(self.inputs()), gate_by_gate(p["loop"]), p["loop"].dtype
+        ends = [np.flatnonzero(x == end) for x in before]
+        ahead, states, kept = self.room("ahead", steps, streams, n), self.room("states", steps, streams, n + 1), self.room("kept", steps, 5, streams, n)
+        x, states[:, :, n] = self.room("x", 3, streams, n), 1
         for t in range(steps):
-            h = h * (before[t] != end)[:, None]
-            new, *rest = self.step(table.take(before[t], 0), h)
-            kept.append((h, *rest))
-            states.append(new)
-            h = new
-        flat, ys = np.concatenate(states), ids.ravel()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        classes = ys // self.class_size
-        share = softmax(flat @ p["class"] + p["class_bias"])
-        every = np.arange(len(ys))
-        loss = -np.log(np.maximum(share[every, classes], 1e-30)).sum()
-        share[every, classes] -= 1
-        g["class"], g["class_bias"] = flat.T @ share, share.sum(0)
-        d = share @ p["class"].T
-        order, runs = by_class(classes, len(p["word"]))
-        sorted_, place, back = flat.take(order, 0), ys[order] % self.class_size, np.empty_like(flat)
+            ahead[t] = states[t - 1, :, :n] if t else state
+            ahead[t, ends[t]] = 0
+            table.take(before[t], 1, out=x, mode="clip")
+            states[t, :, :n] = advance(x, ahead[t], loop, kept[t])[0]
+        to_class, to_word = self.outputs()
+        from_class, from_word = np.ascontiguousarray(p["class"].T), np.ascontiguousarray(p["word"].transpose(0, 2, 1))
+        classes, inside = np.divmod(ids.ravel(), self.class_size)
+        g_class, g_word = np.zeros_like(to_class), np.zeros_like(to_word)
+        flat, d, hits, every = states.reshape(-1, n + 1), self.room("d", steps * streams, n), np.empty((2, ids.size), kind), np.arange(PIECE)
+        for a in range(0, len(flat), PIECE):
+            some = flat[a : a + PIECE]
+            share, hit = softmax(some @ to_class), (every[: len(some)], classes[a : a + PIECE])
+            hits[0, a : a + PIECE] = share[hit]
+            share[hit] -= 1
+            g_class += some.T @ share
+            np.matmul(share, from_class, out=d[a : a + PIECE])
+        order, runs = by_class(classes, len(to_word))
         for c, rows in runs:
-            inner = sorted_[rows] @ p["word"][c]
-            inner += p["word_bias"][c]
-            at = (np.arange(len(inner)), place[rows])
-            inner = softmax(inner)
-            loss -= np.log(np.maximum(inner[at], 1e-30)).sum()
-            inner[at] -= 1
-            g["word"][c], g["word_bias"][c] = sorted_[rows].T @ inner, inner.sum(0)
-            np.matmul(inner, p["word"][c].T, out=back[rows])
-        again = np.empty_like(order)
-        again[order] = every
-        d += back.take(again, 0)
+            at = order[rows]
+            some, hit = flat.take(at, 0), (every[: len(at)], inside[at])
+            inner = softmax(some @ to_word[c])
+            hits[1, rows] = inner[hit]
+            inner[hit] -= 1
+            g_word[c] += some.T @ inner
+            d[at] += inner @ from_word[c]
+        loss = -np.log(np.maximum(hits, 1e-30)).sum()
         d = d.reshape(steps, streams, n)
-        down = np.zeros((streams, n), np.float32)
-        into = np.empty((steps, streams, 3 * n), np.float32)
+        down = np.zeros((streams, n), kind)
+        into, looped = self.room("into", 3, steps, streams, n), self.room("looped", steps, 3, streams, n)
+        loop = np.ascontiguousarray(p["loop"].reshape(n, 3, n).transpose(1, 2, 0))
         for t in reversed(range(steps)):
-            h, z, r, new, back = kept[t]
-            dh = d[t] + down
-            dnew = dh * (1 - z) * (1 - new * new)
-            dr = dnew * back * r * (1 - r)
-            dz = dh * (h - new) * z * (1 - z)
-            into[t] = np.concatenate([dz, dr, dnew], 1)
-            looped = np.concatenate([dz, dr, dnew * r], 1)
-            g["loop"] += h.T @ looped
-            down = (dh * z + looped @ p["loop"].T) * (before[t] != end)[:, None]
-        into = into.reshape(-1, 3 * n)
-        ahead = before.ravel()
-        g["bias"] = into.sum(0)
-        g["into"] = p["embed"].take(ahead, 0).T @ into
-        embed = into @ p["into"].T
-        order = np.argsort(ahead, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(ahead[order]) > 0])
-        g["embed"][ahead[order][first]] = np.add.reduceat(embed.take(order, 0), first, axis=0)
-        return float(loss), g, states[-1]
+            z, r, back, new, over = kept[t]
+            dz, dr, dnew = into[:, t]
+            dh, rest = d[t], 1 - z
+            dh += down
+            np.multiply(new, new, out=dnew)
+            np.subtract(1, dnew, out=dnew)
+            dnew *= rest
+            dnew *= dh
+            np.multiply(over, z, out=dz)
+            dz *= rest
+            dz *= dh
+            np.multiply(dnew, r, out=looped[t, 2])
+            np.subtract(1, r, out=dr)
+            dr *= back
+            dr *= looped[t, 2]
+            looped[t, :2] = into[:2, t]
+            np.multiply(dh, z, out=down)
+            for x in looped[t] @ loop:
+                down += x
+            down[ends[t]] = 0
+        g_loop = sum(ahead[t].T @ looped[t] for t in range(steps))
+        words = sums_by_word(before.ravel(), into.reshape(3, -1, n), len(table[0]))
+        g = {
+            "embed": words @ p["into"].T,
+            "into": p["embed"].T @ words,
+            "bias": words.sum(0),
+            "loop": g_loop.transpose(1, 0, 2).reshape(n, 3 * n),
+            "class": g_class[:-1],
+            "class_bias": g_class[-1],
+            "word": g_word[:, :-1],
+            "word_bias": g_word[:, -1],
+        }
+        return float(loss), g, states[-1, :, :n].copy()
+
+
+def gate_by_gate(x: np.ndarray) -> np.ndarray:
+    """Columns of the three gates, each apart; those of the sigmoids halved, as ``advance`` takes them."""
+    got = np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+    got[:2] *= 0.5
+    return got
+
+
+def advance(x: np.ndarray, h: np.ndarray, loop: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x, loop: gate by gate. New state, and room with what the way back needs. A sigmoid is (1 + tanh of the half) / 2."""
+    gates, (z, r, back, new, over) = room[:2], room
+    np.matmul(h, loop, out=room[:3])
+    gates += x[:2]
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    np.multiply(r, back, out=new)
+    new += x[2]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=over)
+    out = z * over
+    out += new
+    return out, room
+
+
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """The states, each with a one behind."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def sums_by_word(ids: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """x: (gates, tokens, columns). Sums over the tokens of each word, gates side by side: products with
+    rows of a single one, for 32 words together."""
+    one, blocks = np.eye(32, dtype=x.dtype), -(-n // 32)
+    order, runs = by_class(ids // 32, blocks)
+    inside = (ids % 32)[order]
+    out = np.zeros((len(x), blocks, 32, x.shape[2]), x.dtype)
+    for k, rows in runs:
+        out[:, k] += one.take(inside[rows], 0).T @ x.take(order[rows], 1)
+    return out.reshape(len(x), -1, x.shape[2])[:, :n].transpose(1, 0, 2).reshape(n, -1)
 
 
 def by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """The order that brings equal classes together, and where each of them then lies."""
+    """The order that brings equal classes together, and where each of them then lies, PIECE rows at most together."""
     order = np.argsort(classes.astype(np.int16), kind="stable")  # of 16 bits: sorted by radix
-    edges = np.searchsorted(classes[order], np.arange(n + 1))
-    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+    edges = np.searchsorted(classes[order], np.arange(n + 1)).tolist()
+    return order, [(c, slice(i, min(i + PIECE, b))) for c, (a, b) in enumerate(zip(edges, edges[1:])) for i in range(a, b, PIECE)]
 
 
 def train(model: Recurrent, ids: np.ndarray, end: int, rate: float) -> Recurrent:
@@ -290,9 +351,9 @@ def score_documents(model: Recurrent, documents: list[np.ndarray], end: int) ->
     order = np.argsort(-sizes, kind="stable")
     lengths, flat = sizes[order], np.concatenate(documents) if documents else np.zeros(0, np.uint16)
     starts = (np.cumsum(sizes) - sizes)[order]
-    table, out = model.inputs(), np.zeros(len(order))
-    h = np.zeros((len(order), model.p["loop"].shape[0]), table.dtype)
-    last = np.full(len(order), end, np.int64)
+    table, loop, out = gate_by_gate(model.inputs()), gate_by_gate(model.p["loop"]), np.zeros(len(order))
+    h = np.zeros((len(order), len(model.p["loop"])), table.dtype)
+    room, last = np.empty((5, *h.shape), h.dtype), np.full(len(order), end, np.int64)
     longest = int(lengths[0]) if len(order) else 0
     live = np.searchsorted(-lengths, -np.arange(longest))  # documents that have a token at each place
     at = 0
@@ -300,15 +361,17 @@ def score_documents(model: Recurrent, documents: list[np.ndarray], end: int) ->
         states, ids, size, first = [], [], 0, at
         while at < longest and (not size or size + live[at] <= WINDOW_TOKENS):
             n = int(live[at])
-            h = model.step(table.take(last[:n], 0), h[:n])[0]
-            last = flat[starts[:n] + at].astype(np.int64)
+            h = advance(table.take(last[:n], 1), h[:n], loop, room[:, :n])[0]
+            last = flat[starts[:n] + at].astype(np.int64, copy=False)
             states.append(h)
             ids.append(last)
             size += n
             at += 1
         got = model.log_probabilities(np.concatenate(states), np.concatenate(ids))
-        for n, part in zip(live[first:at], np.split(got, np.cumsum(live[first:at])[:-1])):
-            out[:n] += part
+        done = 0
+        for n in live[first:at].tolist():
+            out[:n] += got[done : done + n]
+            done += n
     scores = np.empty(len(order))
     scores[order] = out
     return scores
